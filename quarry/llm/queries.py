@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import contamination
 from quarry.llm.lines import dedup_lines
+from quarry.llm.neardup import near_duplicates
+from quarry.llm.packing import pack_documents
 from quarry.llm.substrings import dedup_substrings
 from quarry.llm.tokens import token_counts
 
@@ -22,6 +24,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +44,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op6_substring_dedup, op8_line_dedup, op9_decontamination)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_token_counts, op6_substring_dedup, op8_line_dedup, op9_decontamination, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
