@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.llm.decontaminate import contamination
+from quarry.llm.decontaminate import without_contaminated
 from quarry.llm.lines import without_repeated_lines
 from quarry.llm.neardup import one_of_each
 from quarry.llm.packing import pack_documents
@@ -32,8 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_hit_id"))
-    return docs.join(found, docs["doc_id"] == found["_hit_id"], "left_anti")
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     The files go to the shared folder in spark.checkpoint.dir, or, where none is set, to a folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.System.nanoTime()}"
+    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")

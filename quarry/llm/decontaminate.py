@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
+from quarry.llm.frames import fresh
 
 WINDOW = 13
+#: A text is contaminated if at least one in so many of its words is hit.
+SHARE = 20
 #: Windows broadcast at once: 13 term numbers and an item number each, some 15 MB at most.
 BLOCK_WINDOWS = 250_000
 #: Candidate places held at once while lists are intersected.
@@ -130,41 +133,64 @@ class Segment:
         return (np.concatenate(found_w), np.concatenate(found_p)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+class _Found:
+    """What one block of windows hits in a batch's texts."""
+
+    def __init__(self, windows: Windows, text: pa.Array):
+        data, offsets = T.utf8(text)
+        self.windows, self.words = windows, T.Units(data, offsets, T.ALNUM_WORDS)
+        words = self.words
+        hashes = words.hashes(T.LOWER)
+        term = np.full(len(hashes), -1, np.int32)
+        if len(windows.terms) and len(hashes):
+            place = np.minimum(np.searchsorted(windows.terms, hashes), len(windows.terms) - 1)
+            term = np.where(windows.terms[place] == hashes, place, -1).astype(np.int32)
+        self.segment = Segment(term, len(windows.terms))
+        self.row_end = words.base[1:][words.row] if len(words) else np.zeros(0, np.int64)
+        self.window, self.first = self.segment.phrases(windows, self.row_end)
+        depth = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(depth, self.first, 1)
+        np.add.at(depth, self.first + windows.size[self.window], -1)
+        self.hit = np.cumsum(depth[:-1]) > 0
+        self.n_hit = np.bincount(words.row[self.hit], minlength=words.rows)
+
+    def items(self) -> list[np.ndarray]:
+        return _items(self.windows, self.window, self.words.row[self.first], self.words.rows)
+
+    def near(self, terms: int, slack: int) -> list[np.ndarray]:
+        found, seat = self.segment.near(self.windows, self.row_end, terms, slack)
+        return _items(self.windows, found, self.words.row[seat], self.words.rows)
+
+
 def _search(shared, near_terms: int, near_slack: int, with_spans: bool = False):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = shared.value
         names = np.array(windows.names, object)
         for batch in T.chunks(batches, "_text"):
-            data, offsets = T.utf8(batch.column("_text"))
-            words = T.Units(data, offsets, T.ALNUM_WORDS)
-            hashes = words.hashes(T.LOWER)
-            term = np.full(len(hashes), -1, np.int32)
-            if len(windows.terms) and len(hashes):
-                place = np.minimum(np.searchsorted(windows.terms, hashes), len(windows.terms) - 1)
-                term = np.where(windows.terms[place] == hashes, place, -1).astype(np.int32)
-            segment = Segment(term, len(windows.terms))
-            row_end = words.base[1:][words.row] if len(words) else np.zeros(0, np.int64)
-            found, first = segment.phrases(windows, row_end)
-            depth = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(depth, first, 1)
-            np.add.at(depth, first + windows.size[found], -1)
-            hit = np.cumsum(depth[:-1]) > 0
-            n_hit = np.bincount(words.row[hit], minlength=batch.num_rows)
-            own = _items(windows, found, words.row[first] if len(first) else first, batch.num_rows)
-            columns = [batch.column("_id"), pa.array(words.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(names[x].tolist()) for x in own], pa.list_(pa.string()))]
+            found = _Found(windows, batch.column("_text"))
+            own = found.items()
+            columns = [batch.column("_id"), pa.array(found.words.count, pa.int64()), pa.array(found.n_hit, pa.int64()), pa.array([sorted(names[x].tolist()) for x in own], pa.list_(pa.string()))]
             if near_terms:
-                found, seat = segment.near(windows, row_end, near_terms, near_slack)
-                near = _items(windows, found, words.row[seat] if len(seat) else seat, batch.num_rows)
+                near = found.near(near_terms, near_slack)
                 columns.append(pa.array([sorted(names[np.union1d(a, b)].tolist()) for a, b in zip(own, near, strict=True)], pa.list_(pa.string())))
             else:
                 columns.append(pa.nulls(batch.num_rows, pa.list_(pa.string())))
             if with_spans:
-                columns += [batch.column("_row"), pa.array(_hit_spans(hit, words), pa.binary())]
+                columns += [batch.column("_row"), pa.array(_hit_spans(found.hit, found.words), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "near", "_row", "spans"][: len(columns)])
 
     return search
 
 
+def _clean(shared, text_col: str):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.chunks(batches, text_col):
+            found = _Found(shared.value, batch.column(text_col))
+            yield batch.filter(pa.array((found.n_hit == 0) | (SHARE * found.n_hit < found.words.count)))
+
+    return clean
+
+
 def _hit_spans(hit: np.ndarray, words: T.Units) -> list[bytes]:
     """Each row's hit words as int32 numbers."""
     at = np.flatnonzero(hit)
@@ -228,5 +254,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         every = every.groupBy("_row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.sum((F.col("part") == 0).cast("int")).alias("copies"))
         found = every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items", "near").mapInArrow(_merged, schema)
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *[F.size("near").cast("long").alias("n_near")][: bool(near_terms)])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *[F.size("near").cast("long").alias("n_near")][: bool(near_terms)])
 
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows that contamination() doesn't find contaminated, with all their columns. With one block of windows nothing is shuffled."""
+    blocks = list(_blocks(benchmark, item_col, "text", window, block_windows))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(blocks[0]), text_col), docs.schema)
+    (name,) = fresh(docs, "_hit_id")
+    found = contamination(docs, benchmark, window, id_col, text_col, item_col, block_windows=block_windows).where("contaminated").select(F.col("doc_id").alias(name))
+    return docs.join(found, F.col(id_col) == F.col(name), "left_anti")

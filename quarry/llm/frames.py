@@ -21,6 +21,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of docs has, whatever the case."""
+    held = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the links in columns a and b (long): columns node, component (smallest node reached).
 

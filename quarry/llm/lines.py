@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
+from quarry.llm.frames import fresh
 from quarry.llm.repeats import earlier_spans, keyed, with_spans
 
 #: Shortest run of lines that counts as repeated (the winnowing guarantee threshold).
@@ -43,23 +44,48 @@ def _line_windows(run: int):
     return find
 
 
+def _cut(text: pa.Array, spans: pa.Array) -> tuple[list[int], list[int], list[str | None]]:
+    """Solid lines, lines that go, and what is left of each text."""
+    n, gone, out = [], [], []
+    for value, held in zip(text.to_pylist(), spans.to_pylist(), strict=True):
+        lines = [] if value is None else value.split("\n")
+        solid = [i for i, x in enumerate(lines) if x.strip(" \t\n\r\x0b\x0c")]
+        drop: set[int] = set()
+        if held:
+            pairs = np.frombuffer(held, np.int32).tolist()
+            for begin, end in zip(pairs[::2], pairs[1::2], strict=True):
+                drop.update(solid[begin:end])
+        n.append(len(solid))
+        gone.append(len(drop))
+        out.append(None if value is None else value if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
+    return n, gone, out
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, gone, text = [], [], []
-        for value, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            lines = [] if value is None else value.split("\n")
-            solid = [i for i, x in enumerate(lines) if x.strip(" \t\n\r\x0b\x0c")]
-            drop: set[int] = set()
-            if spans:
-                pairs = np.frombuffer(spans, np.int32).tolist()
-                for begin, end in zip(pairs[::2], pairs[1::2], strict=True):
-                    drop.update(solid[begin:end])
-            n.append(len(solid))
-            gone.append(len(drop))
-            text.append(None if value is None else value if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
+        n, gone, text = _cut(batch.column("_text"), batch.column("spans"))
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
 
+def _edited(text_col: str, chars_col: str, spans_col: str):
+    def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, text = _cut(batch.column(text_col), batch.column(spans_col))
+            columns, names = [], []
+            for field, column in zip(batch.schema, batch.columns, strict=True):
+                if field.name == spans_col:
+                    continue
+                if field.name == text_col:
+                    column = pa.array(text, field.type)
+                elif field.name == chars_col:
+                    column = pa.array([None if x is None else len(x) for x in text], field.type)
+                columns.append(column)
+                names.append(field.name)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return edited
+
+
 def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed and text without the lines of later repeated runs.
 
@@ -74,13 +100,11 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     return with_spans(rows, spans).mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, text string")
 
 
-def without_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The documents themselves, all columns kept, with `text` cut as dedup_lines does and n_chars counted anew.
-
-    Every row stays, if with an empty text. Ids are taken to be unique here.
-    """
-    cut = dedup_lines(docs, run).select(F.col("doc_id").alias("_cut_id"), F.col("text").alias("_cut_text"))
-    rest = docs.drop("text", "n_chars")
-    joined = rest.join(cut, rest["doc_id"].eqNullSafe(cut["_cut_id"]))
-    made = {"text": F.col("_cut_text"), "n_chars": F.length("_cut_text").cast("long")}
-    return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+def without_repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows themselves, all columns kept, with the text cut as dedup_lines() does and chars_col, if there is one, counted anew. Every row stays, if with an empty text."""
+    own_id, own_row, held = fresh(docs, "_id", "_row", "_spans")
+    spans = earlier_spans(keyed(docs, id_col, text_col), _line_windows(run), run)
+    one = spans.groupBy(F.col("_row").alias(own_row), F.col("_id").alias(own_id)).agg(F.first("spans").alias(held))
+    named = F.col(id_col).cast("long")
+    met = docs.join(one.hint("shuffle_hash"), (F.xxhash64(named, F.col(text_col).cast("string")) == F.col(own_row)) & named.eqNullSafe(F.col(own_id)), "left")
+    return met.select(*docs.columns, held).mapInArrow(_edited(text_col, chars_col, held), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import checkpointed, components, parallelism
+from quarry.llm.frames import checkpointed, components, fresh, parallelism
 
 SHINGLE = 5
 #: 32 bands of 5: a pair of similarity 0.8 is missed with probability 3e-6.
@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of near_duplicates() that are kept, with all their columns. Ids are taken to be unique here."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that near_duplicates() keeps, with all their columns; rows with a null id all stay."""
+    (name,) = fresh(docs, "_dropped_id")
+    dropped = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(name))
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -237,21 +237,31 @@ def fit(texts: pa.Array, labels: list[int]) -> dict:
     return {"lexicon": learn(words, [fresh for *_, fresh in parts], label), "trees": Trees().fit(x, y), "knots": knots, "share": share}
 
 
+def _scores(model: dict, text: pa.Array) -> np.ndarray:
+    if "constant" in model:
+        return np.full(len(text), model["constant"])
+    data, offsets = T.utf8(text)
+    margin = model["trees"].margin(features(Words(data, offsets), data, model["lexicon"]))
+    return np.interp(margin, model["knots"], model["share"])
+
+
 def _score(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in T.chunks(batches, "_text", _CHUNK):
-            if "constant" in model:
-                p = np.full(batch.num_rows, model["constant"])
-            else:
-                data, offsets = T.utf8(batch.column("_text"))
-                margin = model["trees"].margin(features(Words(data, offsets), data, model["lexicon"]))
-                p = np.interp(margin, model["knots"], model["share"])
+            p = _scores(shared.value, batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("held_out"), pa.array(p)], ["doc_id", "held_out", "score"])
 
     return score
 
 
+def _keep(shared, text_col: str, cut: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.chunks(batches, text_col, _CHUNK):
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(text_col)) < cut))
+
+    return keep
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
     """One row per document: doc_id, held_out (crc32 of the id as text modulo 5 is 0), score (0 to 1, higher: label 1 likelier), predicted (score >= cut).
 
@@ -265,7 +275,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that toxicity_scores() doesn't predict as toxic, with all their columns. Ids are taken to be unique here."""
-    scores = toxicity_scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_toxic_id"))
-    return docs.join(scores, docs["doc_id"] == scores["_toxic_id"], "left_anti")
+def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
+    """The rows that toxicity_scores() wouldn't predict as toxic, with all their columns; texts are scored where they lie, nothing is shuffled."""
+    model = fit(*labelled_sample(docs, labels, label_col, 5, 0, id_col, text_col, sample_rows))
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), text_col, cut), docs.schema)
