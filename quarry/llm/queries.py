@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import contamination
+from quarry.llm.html import main_text
 from quarry.llm.lines import dedup_lines
 from quarry.llm.neardup import near_duplicates
 from quarry.llm.packing import pack_documents
@@ -43,6 +44,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -63,6 +68,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_token_counts, op4_quality, op6_substring_dedup, op7_toxicity, op8_line_dedup, op9_decontamination, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_token_counts, op4_quality, op5_html_extraction, op6_substring_dedup, op7_toxicity, op8_line_dedup, op9_decontamination, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
