@@ -8,9 +8,10 @@ similarity. A process stops once its points pass the text's largest component, s
 one point for each shingle. All texts of a chunk are drawn together with numpy.
 
 Texts with equal multisets are collapsed to one representative first. In a bucket of equal bands every
-representative is compared with the bucket's least one; only where that leaves a bucket in several components are the pairs
-between different components compared too, so that no link is lost and a group of thousands of near copies costs
-one comparison for each of them, not one for each pair.
+representative is compared with the one that shares most buckets: a group of thousands of near copies costs one comparison for each
+of them. Only where that leaves a bucket in several components do its members meet again, block by block, with sketches of
+their signatures; pairs of different components whose sketches don't rule out the threshold are compared exactly too. A sketch holds the
+signature's low bits, for an estimate, and the counts of the shingles by 256 hash values (large ones rounded up), which bound the overlap from above for certain.
 """
 
 from __future__ import annotations
@@ -30,6 +31,15 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 #: The threshold as a fraction.
 SIMILARITY = (4, 5)
+#: Bits of each signature component in a sketch.
+SKETCH_BITS = 4
+#: Sketches rule out a pair whose estimate is further below the threshold: over four standard deviations.
+SLACK = 0.15
+#: Counts that a byte can stand for: exact to 127, then rounded up by steps of 4 %, the last beyond any.
+_LEVELS = np.concatenate([np.arange(128), np.ceil(127 * 1.04 ** np.arange(1, 128)).astype(np.int64), [1 << 30]])
+#: Members of a bucket whose sketches meet in one unit of work.
+BLOCK = 2048
+_SLICE = 256
 #: Parts that the comparisons of one representative are dealt out to.
 _SALTS = 16
 #: Slots of the filter that spares texts without a candidate the shuffle: at most so many rows are broadcast.
@@ -112,8 +122,15 @@ def _sign(width: int, bands: int, per_band: int):
             band = np.zeros((batch.num_rows, bands), np.uint64)
             for k in range(per_band):
                 band = T.mix(band + parts[:, :, k] + np.uint64(k + 1))
+            bits = T.mix(parts.reshape(batch.num_rows, -1))[:, :, None] >> np.arange(SKETCH_BITS, dtype=np.uint64)[None, None, :] & np.uint64(1)
+            packed = np.packbits(bits.astype(bool).reshape(batch.num_rows, -1), axis=1)
+            spread = np.zeros(batch.num_rows * 256, np.int64)
+            np.add.at(spread, row * 256 + (key >> np.uint64(56)).astype(np.int64), weight)
+            spread = np.searchsorted(_LEVELS, spread).astype(np.uint8).reshape(-1, 256)
+            size = np.bincount(row, weight, batch.num_rows).astype("<u8").view(np.uint8).reshape(-1, 8)
+            packed = np.concatenate([size, spread, packed], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(band.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *names, pa.array(count), lists], ["id", "k1", "k2", "words", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *names, pa.array(count), lists, pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "k1", "k2", "words", "bands", "sketch"])
 
     return sign
 
@@ -162,6 +179,50 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, similarit
     return ordered.mapInArrow(_compare(width, similarity), "a long, b long")
 
 
+def _promising(similarity: tuple[int, int]):
+    least = similarity[0] / similarity[1] - SLACK
+    names = ["band", "bucket", "p", "q"]
+
+    def unit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        band, p, q = (table.column(x)[0].as_py() for x in ("band", "p", "q"))
+        rep, component, own = (np.asarray(table.column(x)) for x in ("rep", "component", "own"))
+        if len(rep) < 2:
+            return
+        bands = np.asarray(table.column("bands").combine_chunks().flatten(), np.int64).reshape(len(rep), -1)[:, :band]
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        size = np.ascontiguousarray(sketch[:, :8]).view("<u8").reshape(-1).astype(np.int64)
+        spread, sketch = _LEVELS[sketch[:, 8:264]].astype(np.int32), sketch[:, 264:]
+        bits = 8 * sketch.shape[1]
+        words = np.ascontiguousarray(np.pad(sketch, ((0, 0), (0, -sketch.shape[1] % 8)))).view(np.uint64)
+        most = int(bits * (1 - least) / 2)
+        for at in range(0, len(rep), _SLICE):
+            apart = np.zeros((min(_SLICE, len(rep) - at), len(rep)), np.uint16)
+            for k in range(words.shape[1]):
+                apart += np.bitwise_count(words[at : at + _SLICE, k][:, None] ^ words[None, :, k])
+            a, b = np.nonzero((apart <= most) & (component[at : at + _SLICE][:, None] != component[None, :]))
+            a = a + at
+            ok = (rep[a] < rep[b]) if p == q else (rep[a] < rep[b]) & (own[a] != own[b])
+            a, b = a[ok], b[ok]
+            for k in range(band):  # a pair counts in the first band in which it meets
+                ok = bands[a, k] != bands[b, k]
+                a, b = a[ok], b[ok]
+            ok = np.zeros(len(a), bool)
+            for k in range(0, len(a), 1 << 15):
+                x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+                both = np.minimum(spread[x], spread[y]).sum(1, dtype=np.int64)
+                ok[k : k + (1 << 15)] = both * sum(similarity) >= similarity[0] * (size[x] + size[y])
+            a, b = a[ok], b[ok]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in T.grouped(batches, names):
+            yield from unit(group)
+
+    return promising
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id linked directly or through others, itself included), kept (doc_id = class_id).
 
@@ -171,23 +232,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns aren't read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = checkpointed(texts.mapInArrow(_sign(width, bands, rows), "id long, k1 long, k2 long, words long, bands array<long>"))
+    signed = checkpointed(texts.mapInArrow(_sign(width, bands, rows), "id long, k1 long, k2 long, words long, bands array<long>, sketch binary"))
     solid = signed.where("words > 0 AND id IS NOT NULL")
-    classes = checkpointed(solid.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
+    classes = checkpointed(solid.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "bucket", "lead")
+    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = checkpointed(banded.join(shared, ["band", "bucket"]))
-    stars = checkpointed(members.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    met = members.groupBy("rep").agg(F.sum("m").alias("met"))
+    leads = members.join(met, "rep").groupBy("band", "bucket").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("lead"))
+    stars = checkpointed(members.join(leads, ["band", "bucket"]).where("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     held = texts.where("_id IS NOT NULL").select(F.col("_id").alias("id"), "_text")
     links = checkpointed(verified(stars, held, width, similarity))
     linked = components(links)
     # buckets that the first comparisons have left in several components
-    placed = members.join(linked, members["rep"] == linked["node"], "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where("c < d AND n > 2").select("band", "bucket")
-    rest = checkpointed(placed.join(mixed, ["band", "bucket"]))
-    other = rest.select("band", "bucket", F.col("rep").alias("b"), F.col("component").alias("d"))
-    cross = rest.join(other, ["band", "bucket"]).where("rep < b AND component <> d").select(F.col("rep").alias("a"), "b").distinct()
-    cross = checkpointed(cross.join(stars, ["a", "b"], "left_anti"))
+    placed = members.join(linked, members["rep"] == linked["node"], "left").select("band", "bucket", "m", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.where("m > 2").groupBy("band", "bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band", "bucket")
+    again = placed.join(mixed, ["band", "bucket"]).join(classes.select("rep", "bands", "sketch"), "rep")
+    again = again.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    again = again.select("band", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "component", "bands", "sketch")
+    again = again.repartition(parallelism(docs.sparkSession), "band", "bucket", "p", "q").sortWithinPartitions("band", "bucket", "p", "q")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = checkpointed(again.mapInArrow(_promising(similarity), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
         linked = components(links.union(verified(cross, held, width, similarity)))
     named = classes.select("k1", "k2", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))

@@ -79,6 +79,25 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             at = to
 
 
+def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each value of the integer columns `names`, which the batches are sorted by; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(x), np.int64) for x in names], 1)
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        for a, b in zip(begin, [*begin[1:], len(key)], strict=True):
+            if held and last != tuple(key[a]):
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(key[a])
+    if held:
+        yield held
+
+
 class Units:
     """Words or lines of a batch: byte ranges, their row, and each row's first unit."""
 

@@ -140,19 +140,8 @@ def _compare(threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array(rep[held]), pa.array(rep[label[held]]), pa.array(links[held])], ["a", "b", "links"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            key = np.stack([np.asarray(batch.column(x), np.int64) for x in names], 1)
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else []
-            for a, b in zip(new, [*new[1:], len(key)], strict=True):
-                if held and last != tuple(key[a]):
-                    yield from unit(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(key[a])
-        if held:
-            yield from unit(held)
+        for group in T.grouped(batches, names):
+            yield from unit(group)
 
     return compare
 
