@@ -1 +1 @@
-
+"""Column functions for text, paths and globs."""

@@ -1 +1 @@
-
+"""Composite plans and the registered queries."""
