@@ -70,4 +70,39 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_token_counts, op4_quality, op5_html_extraction, op6_substring_dedup, op7_toxicity, op8_line_dedup, op9_decontamination, op10_best_fit_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: Windows of n units u (one list a document), numbered from 1: win(doc_id, i, w); later: those whose sequence also starts earlier.
+_WINDOWS = """win AS (SELECT doc_id, i, array_to_string(u[i:i + {n} - 1], {sep}) AS w FROM (SELECT doc_id, u, unnest(range(1, len(u) - {n} + 2)) AS i FROM units WHERE len(u) >= {n})),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range({n})) AS k))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS u FROM documents),
+sh AS MATERIALIZED (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN len(u) >= 5 THEN list_transform(range(1, len(u) - 3), lambda i: array_to_string(u[i:i + 4], ' ')) WHEN len(u) > 0 THEN [array_to_string(u, ' ')] ELSE [] END) AS s FROM d) GROUP BY ALL),
+sz AS MATERIALIZED (SELECT doc_id, sum(n) AS n FROM sh GROUP BY 1),
+lk AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b USING (s) JOIN sz x ON x.doc_id = a.doc_id JOIN sz y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 9 * sum(least(a.n, b.n)) >= 4 * (max(x.n) + max(y.n))),
+rc AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b, root FROM rc JOIN lk ON a = node)
+SELECT node AS doc_id, min(root) AS class_id, node = min(root) AS kept FROM rc GROUP BY node""",
+    "op2_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS MATERIALIZED (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(e) > 0 AND list_inner_product(e, e) > 0),
+lk AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+rc AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT b, root FROM rc JOIN lk ON a = node)
+SELECT node AS vec_id, (SELECT count(*) FROM lk WHERE a = node) AS n_links, min(root) AS component_id, node = min(root) AS kept FROM rc GROUP BY node""",
+    "op6_substring_dedup": f"""WITH units AS MATERIALIZED (SELECT doc_id, {_WORDS} AS u FROM documents), {_WINDOWS.format(n=20, sep="' '")},
+g AS (SELECT doc_id, list(i) AS x FROM gone GROUP BY 1)
+SELECT doc_id, len(u) AS n_words, coalesce(len(x), 0) AS n_removed, sha256(array_to_string(CASE WHEN x IS NULL THEN u ELSE list_filter(u, lambda w, i: NOT list_contains(x, i)) END, ' ')) AS kept_sha256 FROM units LEFT JOIN g USING (doc_id)""",
+    "op8_line_dedup": f"""WITH ln AS MATERIALIZED (SELECT doc_id, j, l, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents)),
+nb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM ln WHERE t <> ''),
+units AS (SELECT doc_id, list(t ORDER BY i) AS u FROM nb GROUP BY 1), {_WINDOWS.format(n=3, sep="chr(10)")},
+dr AS (SELECT doc_id, j FROM nb JOIN gone USING (doc_id, i)), kp AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY j) AS t FROM ln WHERE (doc_id, j) NOT IN (SELECT doc_id, j FROM dr) GROUP BY 1)
+SELECT doc_id, (SELECT count(*) FROM nb WHERE nb.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM dr WHERE dr.doc_id = d.doc_id) AS n_removed, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text FROM documents d LEFT JOIN kp USING (doc_id)""",
+    "op9_decontamination": r"""WITH du AS MATERIALIZED (SELECT doc_id, regexp_extract_all(ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS u FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ascii FROM documents)),
+bu AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS u FROM benchmark),
+bw AS MATERIALIZED (SELECT DISTINCT item, least(13, len(u)) AS n, array_to_string(u[i:i + least(13, len(u)) - 1], ' ') AS w FROM (SELECT item, u, unnest(range(1, len(u) - least(13, len(u)) + 2)) AS i FROM bu WHERE len(u) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(u[i:i + n - 1], ' ') AS w FROM (SELECT doc_id, u, n, unnest(range(1, len(u) - n + 2)) AS i FROM du, sizes WHERE len(u) >= n)),
+ht AS MATERIALIZED (SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON bw.w = dw.w AND bw.n = dw.n),
+nh AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM ht) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM ht) GROUP BY 1)
+SELECT doc_id, len(u) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(u) AS contaminated FROM du LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
