@@ -100,7 +100,7 @@ class Segment:
             found_w.append(live[which])
             found_p.append(first)
             at = to
-        return np.concatenate(found_w), np.concatenate(found_p)
+        return (np.concatenate(found_w), np.concatenate(found_p)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def near(self, windows: Windows, row_end: np.ndarray, terms: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
         """Proximity matches: windows whose `terms` rarest terms all lie within `slack` words of where the rarest one would put them."""
@@ -169,10 +169,10 @@ def _search(shared, near_terms: int, near_slack: int, with_spans: bool = False):
         for batch in T.chunks(batches, "_text"):
             found = _Found(windows, batch.column("_text"))
             own = found.items()
-            columns = [batch.column("_id"), pa.array(found.words.count, pa.int64()), pa.array(found.n_hit, pa.int64()), pa.array([sorted(names[x].tolist()) for x in own], pa.list_(pa.string()))]
+            columns = [batch.column("_id"), pa.array(found.words.count, pa.int64()), pa.array(found.n_hit, pa.int64()), pa.array([sorted(set(names[x].tolist())) for x in own], pa.list_(pa.string()))]
             if near_terms:
                 near = found.near(near_terms, near_slack)
-                columns.append(pa.array([sorted(names[np.union1d(a, b)].tolist()) for a, b in zip(own, near, strict=True)], pa.list_(pa.string())))
+                columns.append(pa.array([sorted(set(names[np.union1d(a, b)].tolist())) for a, b in zip(own, near, strict=True)], pa.list_(pa.string())))
             else:
                 columns.append(pa.nulls(batch.num_rows, pa.list_(pa.string())))
             if with_spans:
@@ -204,7 +204,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_hit of rows whose hits several blocks have found."""
     for batch in batches:
         n = [len(np.unique(np.frombuffer(b"".join(x), np.int32))) for x in batch.column("spans").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n, pa.int64()), batch.column("items"), batch.column("near")], ["doc_id", "n_words", "n_hit", "items", "near"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n, pa.int64()), batch.column("items"), batch.column("near"), batch.column("_row")], ["doc_id", "n_words", "n_hit", "items", "near", "_row"])
 
 
 def _items(windows: Windows, found: np.ndarray, row: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -218,7 +218,7 @@ def _items(windows: Windows, found: np.ndarray, row: np.ndarray, rows: int) -> l
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of bounded size, read row by row: the driver holds one partition and one block."""
+    """The benchmark's windows in blocks of bounded size, read row by row, a partition at a time."""
     held, size = [], 0
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
         held.append((r.i, r.t))
@@ -230,6 +230,29 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limi
         yield Windows(held, width)
 
 
+_CONTAMINATED = f"n_hit > 0 AND {SHARE} * n_hit >= n_words"
+
+
+def _row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _hits(docs: DataFrame, blocks: list[Windows], id_col: str, text_col: str, near_terms: int = 0, near_slack: int = 0) -> DataFrame:
+    """doc_id, n_words, n_hit, items, near of each row; with several blocks also _row, a hash of id and text."""
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), _row_key(id_col, text_col).alias("_row"))
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, near array<string>"
+    if len(blocks) == 1:
+        return rows.mapInArrow(_search(context.broadcast(blocks[0]), near_terms, near_slack), schema)
+    wide = schema + ", _row long, spans binary"
+    parts = [rows.mapInArrow(_search(context.broadcast(w), near_terms, near_slack, True), wide).withColumn("part", F.lit(k)) for k, w in enumerate(blocks)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part.where("n_hit > 0 OR size(near) > 0"))
+    every = every.groupBy("_row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.sum((F.col("part") == 0).cast("int")).alias("copies"))
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items", "near", "_row").mapInArrow(_merged, schema + ", _row long")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", near_terms: int = 0, near_slack: int = 3, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any benchmark window), n_items, items_sha256, contaminated.
 
@@ -237,25 +260,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     words, or a whole shorter item; an item without words has none. contaminated: n_hit > 0 and 20 n_hit >= n_words.
     near_terms > 0 adds n_near: items with an exact match or one whose `near_terms` rarest terms lie within `near_slack` words
     of their places. Null texts have no words, items with null id or text no window; empty tables give no rows or no hits.
-    Repeated rows give a row each; other columns aren't read.
+    Repeated rows give a row each, an item id that repeats counts once; other columns aren't read.
     """
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_row"))
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, near array<string>"
     blocks = list(_blocks(benchmark, item_col, "text", window, block_windows)) or [Windows([], window)]
-    if len(blocks) == 1:
-        found = rows.mapInArrow(_search(context.broadcast(blocks[0]), near_terms, near_slack), schema)
-    else:
-        wide = schema + ", _row long, spans binary"
-        parts = [rows.mapInArrow(_search(context.broadcast(w), near_terms, near_slack, True), wide).withColumn("part", F.lit(k)) for k, w in enumerate(blocks)]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part.where("n_hit > 0 OR size(near) > 0"))
-        every = every.groupBy("_row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.sum((F.col("part") == 0).cast("int")).alias("copies"))
-        found = every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items", "near").mapInArrow(_merged, schema)
+    found = _hits(docs, blocks, id_col, text_col, near_terms, near_slack)
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *[F.size("near").cast("long").alias("n_near")][: bool(near_terms)])
-
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), F.expr(_CONTAMINATED).alias("contaminated"), *[F.size("near").cast("long").alias("n_near")][: bool(near_terms)])
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -265,6 +275,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
         return docs
     if len(blocks) == 1:
         return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(blocks[0]), text_col), docs.schema)
-    (name,) = fresh(docs, "_hit_id")
-    found = contamination(docs, benchmark, window, id_col, text_col, item_col, block_windows=block_windows).where("contaminated").select(F.col("doc_id").alias(name))
-    return docs.join(found, F.col(id_col) == F.col(name), "left_anti")
+    own_id, own_row = fresh(docs, "_hit_id", "_hit_row")
+    found = _hits(docs, blocks, id_col, text_col).where(_CONTAMINATED).select(F.col("doc_id").alias(own_id), F.col("_row").alias(own_row))
+    return docs.join(found, (_row_key(id_col, text_col) == F.col(own_row)) & F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), "left_anti")
