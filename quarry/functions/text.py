@@ -70,7 +70,7 @@ def glob_regex(globs: list[str] | tuple[str, ...]) -> str:
             elif c == "?":
                 made += "."
             elif end > 0:
-                body = glob[i + 1 : end].replace("\\", "\\\\")
+                body = re.sub(r"([\\\[&])", r"\\\1", glob[i + 1 : end])
                 made += "[" + ("^" + body[1:] if body[0] == "!" else body) + "]"
                 i = end
             else:

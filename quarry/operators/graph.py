@@ -16,6 +16,8 @@ DAMPING, ITERATIONS, SEEDS = 0.85, 30, 50
 HUB_LEAST, HUB_QUANTILE = 50, 0.99
 #: Edges that one task may hold as arrays; beyond them rank mass moves by joins.
 BROADCAST_EDGES = 5_000_000
+#: Links of a file graph that are clustered in one place; beyond them labels spread by joins.
+LOUVAIN_EDGES = 500_000
 
 # What links and imports look like, and the suffixes tried for a module path.
 IMPORT_DART = r"""(?m)^\s*(?:import|export|part)\s+['"]([^'"]+)['"]"""
@@ -323,25 +325,76 @@ def shortest_hops(edges: DataFrame, sources: DataFrame, targets: DataFrame, limi
     return seen.join(targets.select(F.col("path").alias("at")).distinct(), "at", "left_semi").select(F.col("root").alias("src"), F.col("at").alias("dst"), "hops")
 
 
-def communities(edges: DataFrame, node: DataFrame, rounds: int = 12) -> DataFrame:
-    """path, cid: label propagation by edge weight, 0 the largest community; ties go to the smaller label. Isolated files are their own.
-
-    Every other round only files of even hash move, so two files can't swap labels for ever.
-    """
+def louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Community of each of n nodes: greedy modularity moves in node order, then the same on the merged graph, until nothing improves."""
+    label = np.arange(n)
+    while True:
+        links: list[dict[int, float]] = [{} for _ in range(n)]
+        for a, b, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
+            links[a][b] = links[a].get(b, 0.0) + w
+            if a != b:
+                links[b][a] = links[b].get(a, 0.0) + w
+        degree = np.array([sum(x.values()) + x.get(i, 0.0) for i, x in enumerate(links)])
+        total = degree.sum()
+        own, size = np.arange(n), degree.copy()
+        moved_ever, moved = False, total > 0
+        while moved:
+            moved = False
+            for i in range(n):
+                gain: dict[int, float] = {}
+                for j, w in links[i].items():
+                    if j != i:
+                        gain[own[j]] = gain.get(own[j], 0.0) + w
+                size[own[i]] -= degree[i]
+                best, most = own[i], gain.get(own[i], 0.0) - size[own[i]] * degree[i] / total
+                for c in sorted(gain):
+                    value = gain[c] - size[c] * degree[i] / total
+                    if value > most + 1e-12:
+                        best, most = c, value
+                size[best] += degree[i]
+                if best != own[i]:
+                    own[i], moved, moved_ever = best, True, True
+        names, own = np.unique(own, return_inverse=True)
+        label = own[label]
+        if not moved_ever:
+            return label
+        src, dst, n = own[src], own[dst], len(names)
+
+
+def _propagated(edges: DataFrame, node: DataFrame, rounds: int) -> DataFrame:
+    """path, label by weighted label propagation; in turn only files of even or odd hash move, so two can't swap labels for ever."""
     from quarry.sources.tables import checkpointed
 
-    links = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
-    links = checkpointed(links)
+    links = checkpointed(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")))
     held = checkpointed(node.select("path", F.col("path").alias("label")))
     for k in range(rounds):
         votes = links.join(held, F.col("dst") == F.col("path")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = votes.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "label"))).where("n = 1").select("src", F.col("label").alias("new"))
+        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("new"))
         moves = F.pmod(F.xxhash64("path"), F.lit(2)) == k % 2
         after = held.join(best, F.col("path") == F.col("src"), "left").select("path", F.when(moves, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"))
         held = checkpointed(after)
-    size = held.groupBy("label").agg(F.count("*").alias("n"))
+    return held
+
+
+def communities(edges: DataFrame, node: DataFrame, rounds: int = 12, most: int = LOUVAIN_EDGES) -> DataFrame:
+    """path, cid: subsystems of the file graph, 0 the largest. Isolated files are their own.
+
+    The link table's count decides the form: up to `most` links are merged by modularity in one place; above, labels spread by
+    joins, whose groups are coarser.
+    """
+    if edges.count() <= most:
+        held = edges.select("a", "b", "weight").orderBy("a", "b").toPandas()  # at most `most` rows
+        paths = sorted({*held["a"], *held["b"]})
+        at = {p: i for i, p in enumerate(paths)}
+        label = louvain(held["a"].map(at).to_numpy(int), held["b"].map(at).to_numpy(int), held["weight"].to_numpy(float), len(paths))
+        lead = {c: paths[i] for i, c in reversed(list(enumerate(label.tolist())))}
+        made = edges.sparkSession.createDataFrame([(p, lead[c]) for p, c in zip(paths, label.tolist(), strict=True)] or [], "p string, label string")
+        named = node.select("path").join(made, F.col("path") == F.col("p"), "left").select("path", F.coalesce("label", "path").alias("label"))
+    else:
+        named = _propagated(edges, node, rounds)
+    size = named.groupBy("label").agg(F.count("*").alias("n"))
     size = size.withColumn("cid", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)  # one row for each community
-    return held.join(size, "label").select("path", F.col("cid").cast("int").alias("cid"))
+    return named.join(size, "label").select("path", F.col("cid").cast("int").alias("cid"))
 
 
 def missing_refs(chunks: DataFrame, files: DataFrame, present: DataFrame | None = None) -> DataFrame:

@@ -143,7 +143,6 @@ def fold_sql(name: str, ranking: str, budget: str) -> str:
 {name} AS MATERIALIZED (SELECT qid, idx, (row_number() OVER (PARTITION BY qid ORDER BY n) - 1)::INT AS pos, tokens FROM {name}_s WHERE idx IS NOT NULL)"""
 
 
-_BEST = "best AS (SELECT qid, term, arg_max(idx, {'w': round(w, 9), 'i': -idx}) AS idx, max(round(w, 9)) AS w FROM qs JOIN wt USING (term) GROUP BY ALL)"
 SEED_SQL = f"""
 qs AS (SELECT * FROM qt WHERE term NOT IN {S.STOP_SQL}),
 bestd AS (SELECT qid, term, idx FROM (SELECT qid, term, idx, w, row_number() OVER (PARTITION BY qid, term ORDER BY round(w, 9) DESC, idx) AS r FROM qs JOIN wt USING (term)) WHERE r = 1 AND round(w, 9) > 0),
@@ -155,7 +154,7 @@ seeds AS MATERIALIZED (SELECT qid, idx, (row_number() OVER (PARTITION BY qid ORD
 
 ORACLE_SQL = {
     "bm25_topk": _L + "SELECT qid, idx, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) - 1)::INT AS pos, round(score, 6) AS score FROM bm QUALIFY pos < 10",
-    "bm25_best_doc_per_term": f"WITH {S.SQL}, {S.bm25_sql(True)} SELECT qid, term, idx, round(w, 6) AS w FROM (SELECT qid, term, idx, w, row_number() OVER (PARTITION BY qid, term ORDER BY round(w, 9) DESC, idx) AS r FROM qt JOIN wt USING (term)) WHERE r = 1",
+    "bm25_best_doc_per_term": f"WITH {S.SQL}, {S.bm25_sql(True)} SELECT qid, term, idx, round(round(w, 9), 6) AS w FROM (SELECT qid, term, idx, w, row_number() OVER (PARTITION BY qid, term ORDER BY round(w, 9) DESC, idx) AS r FROM qt JOIN wt USING (term)) WHERE r = 1",
     "inverted_index": _L + "SELECT term, count(*) AS df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf, round(max(avg_len), 6) AS avg_len FROM tok, stats GROUP BY term",
     "dense_topk": _D + "SELECT qid, idx, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) - 1)::INT AS pos, round(score, 6) AS score FROM dn QUALIFY pos < 10",
     "rrf_topk": _F + "SELECT qid, idx, pos::INT AS pos, round(score, 6) AS score FROM fused WHERE pos < 20",

@@ -1 +1 @@
-
+"""Journals and corpora as streams."""
