@@ -29,14 +29,19 @@ def _col(c: Column | str) -> Column:
 
 
 def tokenize(text: Column | str) -> Column:
-    """Lower-case words; an identifier in camelCase gives its parts and then itself. Null gives null."""
-    words = F.regexp_extract_all(_col(text), F.lit(f"({WORD})"), F.lit(1))
+    """Lower-case words; an identifier in camelCase gives its parts and then itself. Null gives null.
+
+    Only texts with a lower letter before a capital (or İ, whose lower case holds a mark) take the word-by-word path.
+    """
+    text = _col(text)
 
     def split(word: Column) -> Column:
         parts = F.split(F.lower(F.regexp_replace(word, CAMEL, " ")), " ")
-        return F.when(F.size(parts) > 1, F.concat(parts, F.array(F.lower(word)))).otherwise(parts)
+        return F.when(word.rlike(CAMEL), F.concat(parts, F.array(F.lower(word)))).otherwise(F.array(F.lower(word)))
 
-    return F.flatten(F.transform(words, split))
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    plain = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+    return F.when(text.rlike(f"{CAMEL}|İ"), F.flatten(F.transform(words, split))).otherwise(plain)
 
 
 def query_tokens(text: Column | str, drop_stopwords: bool = False) -> Column:

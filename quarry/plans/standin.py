@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import STOPWORDS, token_count
+from quarry.sources.tables import spread
 
 #: The same tables as DuckDB common table expressions.
 SQL = r"""
@@ -55,7 +56,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     kind = F.when(F.col("lang") == "en", "code").when(F.col("lang") == "fr", "decision").otherwise("doc")
     return docs.select(F.col("doc_id").alias("idx"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "source", "lang", F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("symbol"), "text", token_count("text").alias("tokens"), (F.col("lang") == "en").alias("is_code"), kind.alias("kind"))
 
