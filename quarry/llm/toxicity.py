@@ -50,25 +50,36 @@ class Words:
         self.offsets = offsets
 
 
-def learn(words: list[Words], chosen: list[np.ndarray], labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and strengths (log ratios) of the lexicon, from the chosen rows of each chunk."""
-    seen: list[np.ndarray] = []
+_KEY = np.uint64((1 << 44) - 1)
+
+
+def entries(w: Words) -> np.ndarray:
+    """The distinct lexicon keys (44 bits) of each row, as row * 2**44 + key."""
+    row = w.units.row.astype(np.uint64) << np.uint64(44)
+    return np.unique(np.concatenate([np.unique(row | (x >> np.uint64(20))) for x in w.names]))
+
+
+def learn(held: list[np.ndarray], chosen: list[np.ndarray], labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and strengths (log ratios) of the lexicon, from the entries of each chunk's chosen rows."""
+    every: list[np.ndarray] = []
     toxic: list[np.ndarray] = []
     n = np.zeros(2)
-    for w, rows, y in zip(words, chosen, labels, strict=True):
-        held = rows[w.units.row]
+    for pairs, rows, y in zip(held, chosen, labels, strict=True):
         n += np.bincount(y[rows], minlength=2)[:2]
-        pairs = np.unique(np.concatenate([(w.units.row[held].astype(np.uint64) << np.uint64(44)) | (x[held] >> np.uint64(20)) for x in w.names]))
-        seen.append(pairs & np.uint64((1 << 44) - 1))
-        toxic.append(y[(pairs >> np.uint64(44)).astype(np.int64)])
-    name, number = np.unique(np.concatenate(seen), return_inverse=True)
-    bad = np.bincount(number, np.concatenate(toxic), len(name))
-    good = np.bincount(number, minlength=len(name)) - bad
+        row = (pairs >> np.uint64(44)).astype(np.int64)
+        every.append(pairs[rows[row]] & _KEY)
+        toxic.append(pairs[rows[row] & (y[row] > 0)] & _KEY)
     if not n[0] or not n[1]:
-        return name[:0], np.zeros(0)
-    base, both = n[1] / n.sum(), bad + good
-    gain = bad * np.log(np.maximum(bad, 1e-9) / both / base) + good * np.log(np.maximum(good, 1e-9) / both / (1 - base))
-    keep = (bad >= 3) & (bad / both > 0.5) & (gain > np.log(max(2, (both >= 3).sum())) + 1)
+        return np.zeros(0, np.uint64), np.zeros(0)
+    # only keys of toxic texts can enter; all others count for the number of candidates alone
+    name, bad = np.unique(np.concatenate(toxic), return_counts=True)
+    whole = np.sort(np.concatenate(every))
+    both = np.searchsorted(whole, name, side="right") - np.searchsorted(whole, name, side="left")
+    step = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1], [True]]))
+    candidates = max(2, int((np.diff(step) >= 3).sum()))
+    good, base = both - bad, n[1] / n.sum()
+    gain = bad * np.log(bad / both / base) + good * np.log(np.maximum(good, 1e-9) / both / (1 - base))
+    keep = (bad >= 3) & (bad / both > 0.5) & (gain > np.log(candidates) + 1)
     return name[keep], np.log((bad[keep] + 0.5) / (good[keep] + 0.5) * n[0] / n[1])
 
 
@@ -199,42 +210,41 @@ def fit(texts: pa.Array, labels: list[int]) -> dict:
     y = np.array(labels, int)
     if len(np.unique(y)) < 2:
         return {"constant": float(y[0]) if len(y) else 0.5}
-    parts, words, at = [], [], 0
+    parts, found, at = [], [], 0
     lead: set[tuple[int, int]] = set()
     batch = pa.RecordBatch.from_arrays([texts], ["_text"])
     for part in T.chunks(iter([batch]), "_text", _CHUNK):
         data, offsets = T.utf8(part.column("_text"))
         w = Words(data, offsets)
         shingle, place = T.windows(w.names[0], w.units.base, 5)
-        # near copies share their least shingles: the first of them counts for the lexicon
+        # near copies share their least shingle: the first of them counts for the lexicon
+        least = np.full(part.num_rows, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, w.units.row[place], shingle)
         fresh = np.ones(part.num_rows, bool)
-        row = w.units.row[place]
-        order = np.lexsort((shingle, row))
-        edge = np.searchsorted(row[order], np.arange(part.num_rows + 1))
         for r in range(part.num_rows):
-            low = shingle[order[edge[r] : min(edge[r + 1], edge[r] + 1)]]
-            if len(low):
-                name = (int(low[0]), int(y[at + r]))
+            name = (int(least[r]), int(y[at + r]))
+            if w.units.count[r] >= 5:
                 fresh[r] = name not in lead
                 lead.add(name)
-        parts.append((data, at, part.num_rows, fresh))
-        words.append(w)
+        parts.append((data, offsets, at, part.num_rows, fresh))
+        found.append(entries(w))
         at += part.num_rows
     fold = np.arange(len(y)) % FOLDS
-    label = [y[a : a + n] for _, a, n, _ in parts]
+    label = [y[a : a + n] for _, _, a, n, _ in parts]
+    lexica = [learn(found, [fresh & (fold[a : a + n] != k) for *_, a, n, fresh in parts], label) for k in range(FOLDS)]
     x = np.zeros((len(y), len(FEATURES)))
-    for k in range(FOLDS):
-        lexicon = learn(words, [fresh & (fold[a : a + n] != k) for _, a, n, fresh in parts], label)
-        for w, (data, a, n, _) in zip(words, parts, strict=True):
+    for data, offsets, a, n, _ in parts:
+        w = Words(data, offsets)
+        for k in range(FOLDS):
             own = fold[a : a + n] == k
-            x[a : a + n][own] = features(w, data, lexicon)[own]
+            x[a : a + n][own] = features(w, data, lexica[k])[own]
     margin = np.zeros(len(y))
     for k in range(FOLDS):
         held = fold == k
         if len(np.unique(y[~held])) == 2:
             margin[held] = Trees().fit(x[~held], y[~held]).margin(x[held])
     knots, share = isotonic(margin, y)
-    return {"lexicon": learn(words, [fresh for *_, fresh in parts], label), "trees": Trees().fit(x, y), "knots": knots, "share": share}
+    return {"lexicon": learn(found, [fresh for *_, fresh in parts], label), "trees": Trees().fit(x, y), "knots": knots, "share": share}
 
 
 def _scores(model: dict, text: pa.Array) -> np.ndarray:
