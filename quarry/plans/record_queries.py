@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from quarry.operators import history as H
 from quarry.operators import ranking as R
 from quarry.plans import standin as S
 from quarry.plans.search_queries import _F, _by_vector, _lexical, fold_sql
+from quarry.streaming import journal as J
 
 # ---------------------------------------------------------------- evaluation
 
@@ -181,10 +184,30 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.sum("p.k").alias("total"), F.count("p.k").alias("n"))
 
 
+def _stream(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what is there now and return its result table."""
+    name = f"stream_{uuid.uuid4().hex}"
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    schema = S.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    w = J.event_windows(events, "1 day", keys=("event_type",))
+    return _stream(spark, w, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def stream_throttled(spark: SparkSession, d: str) -> DataFrame:
+    schema = S.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).where("event_type = 'click'")
+    return _stream(spark, J.throttled(events, "user_id", 1440), "append")
+
+
 QUERIES = {
     f.__name__: f
     for f in (recall_at_budget, recall_files_k, oracle_max, compare_runs, bootstrap_ci, latency_percentiles, judge_scores, pointer_channel, case_mining, decision_mining, past_commits, digest_latest)
-    + (status_summary, last_event_per_key, last_build_failed, asof_last_start, quiet_gaps, throttled_hint, usage_attribution, idle_sessions, event_windows, sliding_windows, json_props)
+    + (status_summary, last_event_per_key, last_build_failed, asof_last_start, quiet_gaps, throttled_hint, usage_attribution, idle_sessions, event_windows, sliding_windows, json_props, stream_event_windows, stream_throttled)
 }
 
 _GOLD = "gold AS MATERIALIZED (SELECT qid, path, idx FROM queries, chunks WHERE contains(text, query))"
@@ -237,6 +260,10 @@ SELECT s.session, s.n AS call, string_agg(path, ' ' ORDER BY i) AS shown, coales
     "idle_sessions": f"WITH {_EV}, g AS (SELECT *, lag(ts) OVER (PARTITION BY root ORDER BY ts, event_id) AS b FROM ev), s AS (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 600 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY ts, event_id) AS s FROM g) SELECT root, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY root, s",
     "event_windows": f"WITH {_EV} SELECT date_trunc('day', ts)::TIMESTAMP AS start, event, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY ALL",
     "sliding_windows": f"WITH {_EV}, w AS (SELECT unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS start, value FROM ev) SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL",
+    "stream_event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_throttled": """WITH RECURSIVE p AS MATERIALIZED (SELECT user_id AS key, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click'),
+f AS (SELECT key, 0::BIGINT AS n, NULL::TIMESTAMP AS last, NULL::BIGINT AS id FROM (SELECT DISTINCT key FROM p) UNION ALL SELECT f.key, p.n, CASE WHEN last IS NULL OR p.ts >= last + INTERVAL 1440 MINUTE THEN p.ts ELSE last END, CASE WHEN last IS NULL OR p.ts >= last + INTERVAL 1440 MINUTE THEN p.event_id END FROM f JOIN p ON p.key = f.key AND p.n = f.n + 1)
+SELECT key, id AS event_id FROM f WHERE id IS NOT NULL""",
     "json_props": "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS total, count(props->>'k') AS n FROM events GROUP BY 1",
 }
 
