@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents, certified by dual-feasible-function bounds.
 
-Pieces are dealt out by a hash to partitions of about PART_ROWS rows; each packs its own best-fit decreasing and compares its bin
-count with a lower bound. The pieces of loosely filled bins of partitions with a gap, and each partition's loosest bin, are
+Pieces are dealt out by a hash to partitions of about PART_ROWS rows; each packs its own best-fit decreasing, compares its bin
+count with a lower bound and, if there is a gap, also tries filling bin by bin and keeps the better. The pieces of loosely filled bins of partitions with a gap, and each partition's loosest bin, are
 exchanged: they are pooled, dealt out anew and packed again, for as long as that saves bins or until the whole
 table's own bound is met. The driver sees counts by length (as many as the capacity) and totals, nothing else.
 """
@@ -21,7 +21,7 @@ from quarry.llm.tokens import crc_of_ids, id_encoder
 
 CAPACITY = 1024
 #: Pieces that one task packs.
-PART_ROWS = 16_384
+PART_ROWS = 65_536
 #: Exchanges at most.
 ROUNDS = 4
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, _key long"
@@ -79,6 +79,46 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(free, np.int64)
 
 
+def fill_bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same by whole bins: each takes the longest piece left and then the set of others that fits best (reachable sums as bits)."""
+    held: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, size in enumerate(lengths.tolist()):
+        held[size].append(i)
+    sizes = [x for x in range(capacity, 0, -1) if held[x]]
+    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    free: list[int] = []
+    left, lead = len(lengths), 0
+    while left:
+        while not held[sizes[lead]]:
+            lead += 1
+        chosen = [held[sizes[lead]].pop()]
+        room = capacity - sizes[lead]
+        mask, reach, steps = (1 << room + 1) - 1, 1, []
+        for size in sizes[lead:]:
+            if size > room or not held[size]:
+                continue
+            steps.append((size, reach))
+            for _ in range(min(len(held[size]), room // size)):
+                more = (reach | reach << size) & mask
+                if more == reach:
+                    break
+                reach = more
+            if reach >> room & 1:
+                break
+        best = at = reach.bit_length() - 1
+        for size, before in reversed(steps):
+            while at and not before >> at & 1:
+                at -= size
+                chosen.append(held[size].pop())
+        place = 0
+        for i in chosen:
+            bins[i], offsets[i] = len(free), place
+            place += int(lengths[i])
+        free.append(room - best)
+        left -= len(chosen)
+    return bins, offsets, np.array(free, np.int64)
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(path)
@@ -107,8 +147,13 @@ def _pack(capacity: int, space: int) -> Callable[[tuple, pa.Table], pa.Table]:
         ids = np.asarray(table.column("doc_id").fill_null(NULL_ID))
         order = np.lexsort((np.asarray(table.column("_key")), np.asarray(table.column("piece")), ids, -length))
         table, length = table.take(pa.array(order)), length[order]
+        bound = lower_bound(np.bincount(length, minlength=capacity + 1))
         bins, offsets, free = best_fit_decreasing(length, capacity)
-        gap = len(free) - lower_bound(np.bincount(length, minlength=capacity + 1))
+        if len(free) > bound:
+            other = fill_bins(length, capacity)
+            if len(other[2]) < len(free):
+                bins, offsets, free = other
+        gap = len(free) - bound
         made = {"sequence_id": (np.int64(space) << 56) + (np.int64(part) << 28) + bins, "offset": offsets, "_slack": free[bins], "_gap": np.full(len(bins), gap, np.int64), "_loosest": bins == int(np.argmax(free))}
         for name, values in made.items():
             table = table.append_column(name, pa.array(values))
