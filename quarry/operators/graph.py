@@ -69,7 +69,7 @@ def definitions(chunks: DataFrame) -> DataFrame:
 
 def mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """How often each chunk mentions each of the names: name, use_idx, use_path, n."""
-    used = chunks.select(F.col("idx").alias("use_idx"), F.col("path").alias("use_path"), F.explode(identifiers("text")).alias("name"))
+    used = chunks.select(F.col("idx").alias("use_idx"), F.col("path").alias("use_path"), F.explode_outer(identifiers("text")).alias("name"))
     return used.join(names.select("name").distinct(), "name", "left_semi").groupBy("name", "use_idx", "use_path").agg(F.count("*").alias("n"))
 
 

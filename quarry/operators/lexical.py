@@ -20,27 +20,39 @@ def query_terms(queries: DataFrame, drop_stopwords: bool = False) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(query_tokens("query", drop_stopwords))).alias("term"))
 
 
+#: A token that no text has: each chunk gets it once, so that lengths and term counts come from one table.
+_MARK = "\0"
+
+
 class Index:
     """The inverted index of a chunk table, restricted to the terms asked for, with the corpus' own statistics.
 
-    Lengths come from the token arrays where they lie; only occurrences of asked terms are exploded and shuffled.
+    Texts are tokenized once and only occurrences of asked terms are shuffled; counts of chunks, their mean length and
+    the terms' frequencies are further aggregates over the same exchange (they touch f and don't filter, so Spark reuses it).
     """
 
     def __init__(self, chunks: DataFrame, terms: DataFrame, body: Column | None = None):
-        docs = chunks.select("idx", tokenize(lexical_text() if body is None else body).alias("tokens"))
-        docs = docs.withColumn("len", F.size("tokens"))
-        self.stats = docs.agg(F.count("*").alias("n_docs"), F.when(F.avg("len") > 0, F.avg("len")).otherwise(1.0).alias("avg_len"))
-        asked = terms.select("term").distinct()
-        occurrences = docs.select("idx", "len", F.explode("tokens").alias("term"))
+        docs = chunks.select("idx", F.concat(tokenize(lexical_text() if body is None else body), F.array(F.lit(_MARK))).alias("tokens"))
+        # the outer form keeps Spark from adding a filter that would tokenize every text once more
+        occurrences = docs.select("idx", (F.size("tokens") - 1).alias("len"), F.explode_outer("tokens").alias("term"))
+        asked = terms.select("term").union(chunks.sparkSession.range(1).select(F.lit(_MARK))).distinct()
         self.tf = occurrences.join(asked, "term", "left_semi").groupBy("term", "idx", "len").agg(F.count("*").alias("f"))
-        df = self.tf.groupBy("term").agg(F.count("*").alias("df"))
+        mark = (F.col("term") == _MARK) & (F.col("f") > 0)
+        stats = self.tf.agg(F.count_if(mark).alias("n_docs"), F.avg(F.when(mark, F.col("len"))).alias("mean"))
+        self.stats = stats.select("n_docs", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("avg_len"))
+        df = self.tf.groupBy("term").agg(F.count_if(F.col("f") > 0).alias("df"))
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        self.terms = df.crossJoin(self.stats).select("term", "df", idf.alias("idf"), "avg_len")  # stats is one row
+        self.all_terms = df.crossJoin(self.stats).select("term", "df", idf.alias("idf"), "avg_len")  # stats is one row
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, df, idf, avg_len of the terms that occur."""
+        return self.all_terms.where(F.col("term") != _MARK)
 
     def weights(self) -> DataFrame:
         """term, idx, w: the BM25 share of each term in each chunk that holds it."""
         norm = F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-        return self.tf.join(self.terms, "term").select("term", "idx", (F.col("idf") * F.col("f") * (K1 + 1) / norm).alias("w"))
+        return self.tf.join(self.all_terms, "term").select("term", "idx", (F.col("idf") * F.col("f") * (K1 + 1) / norm).alias("w"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, drop_stopwords: bool = False, body: Column | None = None) -> DataFrame:
