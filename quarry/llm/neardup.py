@@ -40,8 +40,8 @@ _LEVELS = np.concatenate([np.arange(128), np.ceil(127 * 1.04 ** np.arange(1, 128
 #: Members of a bucket whose sketches meet in one unit of work.
 BLOCK = 2048
 _SLICE = 256
-#: Parts that the comparisons of one representative are dealt out to.
-_SALTS = 16
+#: Texts compared with one representative in one part; a representative of more has several parts.
+PART_TEXTS = 2_000
 #: Slots of the filter that spares texts without a candidate the shuffle: at most so many rows are broadcast.
 _SLOTS = 1 << 18
 
@@ -167,8 +167,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, similarit
 
     Each pair moves one text: b's goes to a's group, and a's text once to each of its salted parts.
     """
-    spread = F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int")
-    asked = pairs.select("a", "b", spread.alias("salt"))
+    parts = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PART_TEXTS).cast("int").alias("parts"))
+    asked = pairs.join(parts, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     asked = asked.union(asked.select("a", F.col("a").alias("b"), "salt").distinct())
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLOTS)).cast("int")
     needed = pairs.select(slot("a").alias("_slot")).union(pairs.select(slot("b"))).distinct()
