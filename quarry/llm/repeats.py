@@ -9,6 +9,7 @@ number of buckets, that is with the data (64 bits and log2 of the buckets). Verd
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ _REPLY = "chunk long, kind int, a binary, b binary, c binary, d binary, e binary
 _SPANS = "_id long, _row long, spans binary"
 #: Order of null ids: after all others.
 NULL_ID = (1 << 63) - 1
+#: Plan nodes after which rows may arrive in another order when they are computed again.
+_MOVED = re.compile(r"\b(?:Exchange|Join|Aggregate|Repartition\w*|RebalancePartitions|Window|Sort|Distinct|Deduplicate|Intersect|Except|GlobalLimit|Union)\b")
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
 
@@ -32,8 +35,14 @@ Windows = Callable[[np.ndarray, np.ndarray], tuple[T.Units, np.ndarray, np.ndarr
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns _id, _text and _row, a hash of both that tells rows apart whose ids repeat."""
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_row"))
+    """Columns _id, _text and _row, a hash of both that tells rows apart whose ids repeat.
+
+    Chunks are named by their rows, so a task that runs again after an executor is lost must see its rows in the same
+    order. Scans give that; what comes out of an exchange is sorted within its partitions.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_row"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    return rows.sortWithinPartitions("_id", "_row") if _MOVED.search(plan) else rows
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
