@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import CODE_EXT, MD_EXT, slug, suffix, token_count
+from quarry.sources.tables import checkpointed
 
 MAX_CHARS, WINDOW_CHARS = 6000, 3000
 CHUNK_SCHEMA = "id string, path string, symbol string, text string, line int"
@@ -109,6 +110,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
 def with_position(chunks: DataFrame, order: list[str]) -> DataFrame:
     """Adds idx, 0-based in the given order, without gathering the rows in one task: a range sort, then each partition's offset."""
     parts = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    parts = checkpointed(parts)  # both uses below must see the same partition numbers
     base = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     base = base.withColumn("_base", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # one row for each partition
     return parts.join(base, "_p").withColumn("idx", F.col("_base") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_n", "_first", "_base")

@@ -117,4 +117,5 @@ def run_report(per_case: DataFrame) -> DataFrame:
 def last_lines(lines: DataFrame, most_bytes: int = 512_000) -> DataFrame:
     """The last lines of (n, value) that together hold at most most_bytes, line ends counted."""
     size = F.sum(F.octet_length("value") + 1).over(Window.orderBy(F.desc("n")))
-    return lines.withColumn("_s", size).where(F.col("_s") <= most_bytes).drop("_s")
+    # a line takes a byte at least, so no more lines than bytes can be wanted
+    return lines.orderBy(F.desc("n")).limit(most_bytes).withColumn("_s", size).where(F.col("_s") <= most_bytes).drop("_s")

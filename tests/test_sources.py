@@ -53,6 +53,11 @@ def test_journal_and_cases(spark, tmp_path):
     assert [(r.qid, r.path, r.pos) for r in records.read_external(spark, str(tmp_path / "x.json")).orderBy("pos").collect()] == [("1", "b", 0), ("1", "a", 1)]
 
 
+def test_tail(spark):
+    lines = spark.createDataFrame([(i, "x" * i) for i in range(10)], "n int, value string")
+    assert sorted(r.n for r in records.last_lines(lines, 20).collect()) == [8, 9]
+
+
 def test_transcript(spark, tmp_path):
     use = lambda i, name, **k: {"timestamp": "t", "message": {"content": [{"type": "tool_use", "id": i, "name": name, "input": k}]}}
     lines = [use("c1", "x__search_code", query="q"), {"message": {"content": [{"type": "tool_result", "tool_use_id": "c1", "content": "### a.py:3  f\nbody\n\n### b.py:1\n### a.py:9"}]}}, use("e1", "Edit", file_path="/r/a.py"), use("e2", "Edit", file_path="/other/b.py")]
