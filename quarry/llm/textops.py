@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Largest number of text bytes in a chunk; a longer single text is a chunk by itself.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text hashed at once.
+_HASH_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _WINDOW_BASE = 0xD6E8FEB86659FD93
 
@@ -129,17 +131,25 @@ class Units:
         self.base = np.concatenate([[0], np.cumsum(self.count)])
 
     def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
-        """One uint64 per unit: a multilinear hash of its bytes, mixed with its length. fold: a byte map applied first."""
-        if not len(self.start):
-            return np.zeros(0, U64)
+        """One uint64 per unit: a multilinear hash of its bytes, mixed with its length. fold: a byte map applied first.
+
+        Eight bytes are needed for each byte of text, so long texts are hashed a stretch of units at a time.
+        """
+        out = np.zeros(len(self.start), U64)
         size = self.end - self.start
         edge = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-        held = self.data[at + np.repeat(self.start, size)]
-        if fold is not None:
-            held = fold[held]
-        value = (held.astype(U64) + U64(1)) * _coefficients(int(size.max()))[at]
-        return mix(np.add.reduceat(value, edge[:-1]) + size.astype(U64) * U64(_ODD))
+        at = 0
+        while at < len(out):
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + _HASH_BYTES, side="right")) - 1)
+            own, first = size[at:to], edge[at:to] - edge[at]
+            place = np.arange(edge[to] - edge[at]) - np.repeat(first, own)
+            held = self.data[place + np.repeat(self.start[at:to], own)]
+            if fold is not None:
+                held = fold[held]
+            value = (held.astype(U64) + U64(1)) * _coefficients(int(own.max()))[place]
+            out[at:to] = mix(np.add.reduceat(value, first) + own.astype(U64) * U64(_ODD))
+            at = to
+        return out
 
 
 def trimmed_lines(data: np.ndarray, offsets: np.ndarray) -> Units:
