@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import without_contaminated
-from quarry.llm.lines import without_repeated_lines
+from quarry.llm.lines import WORDS, without_repeated_lines
 from quarry.llm.neardup import one_of_each
 from quarry.llm.packing import pack_documents
 from quarry.llm.queries import tokenizer_path
@@ -21,8 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; each document stays with its other lines."""
-    return without_repeated_lines(docs)
+    """Later repeated runs of lines go, short ones too if they hold many words; each document stays with its other lines."""
+    return without_repeated_lines(docs, words=WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

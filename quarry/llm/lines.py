@@ -22,6 +22,8 @@ from quarry.llm.repeats import earlier_spans, keyed, with_spans
 
 #: Shortest run of lines that counts as repeated (the winnowing guarantee threshold).
 RUN = 3
+#: Words from which a shorter run, a single line too, counts as well where that is asked for.
+WORDS = 20
 
 
 def fingerprints(hashes: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
@@ -32,14 +34,37 @@ def fingerprints(hashes: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
     return best
 
 
-def _line_windows(run: int):
+def _widths(run: int, words: int | None) -> tuple[int, ...]:
+    return (run,) if words is None else (run, *range(1, run))
+
+
+def _line_windows(run: int, words: int | None):
+    def short(data: np.ndarray, lines: T.Units, hashes: np.ndarray, width: int):
+        """The windows of fewer than `run` lines that hold at least `words` words."""
+        around, at = T.windows(hashes, lines.base, width)
+        begins = np.zeros(len(data) + 1, np.int64)
+        solid = T.SPACE_WORDS[data]
+        np.cumsum(solid[1:] & ~solid[:-1], out=begins[2:])
+        # a line begins with a word, so only the words after it are looked up
+        held = np.concatenate([[0], np.cumsum(1 + begins[lines.end] - begins[lines.start + 1])])
+        chosen = held[at + width] - held[at] >= words
+        around, at = T.salted(around[chosen], 4 + width), at[chosen]
+        return T.salted(around, 2), at, T.salted(around, 3)
+
     def find(data: np.ndarray, offsets: np.ndarray):
         lines = T.trimmed_lines(data, offsets)
         hashes = lines.hashes()
         around, at = T.windows(hashes, lines.base, run)
         least = fingerprints(hashes, at, run) if len(at) else at
         name = T.mix(around + T.salted(hashes[least], 2) + (least - at).astype(np.uint64))
-        return lines, name, at, T.salted(around, 3)
+        found = [(name, at, T.salted(around, 3))]
+        widths = _widths(run, words)
+        found += [short(data, lines, hashes, width) for width in widths[1:] if len(lines)]
+        if len(found) == 1:
+            return lines, name, at * len(widths), found[0][2]
+        place = np.concatenate([len(widths) * x[1] + k for k, x in enumerate(found)])
+        order = np.argsort(place)
+        return lines, np.concatenate([x[0] for x in found])[order], place[order], np.concatenate([x[2] for x in found])[order]
 
     return find
 
@@ -86,24 +111,25 @@ def _edited(text_col: str, chars_col: str, spans_col: str):
     return edited
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed and text without the lines of later repeated runs.
 
     Lines are cut at line feeds; a line counts without the ASCII white space at its ends, and lines of white space alone
     neither count nor go. All lines of `run` consecutive ones go whose sequence also starts earlier
     (smaller id, or same id and earlier line), as judged on the input. Null text stays null with 0 lines; texts of fewer
-    than `run` lines stay as they are. Null ids come after all others; rows whose id repeats count as one
+    than `run` lines stay as they are. With `words`, lines also go whose sequence starts earlier if they are fewer than `run`
+    but hold at least so many words (between ASCII white space), so a single long line that is repeated goes. Null ids come after all others; rows whose id repeats count as one
     place and remove nothing from each other at equal places. An empty table gives none. Other columns aren't read.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = earlier_spans(rows, _line_windows(run), run)
+    spans = earlier_spans(rows, _line_windows(run, words), *_widths(run, words))
     return with_spans(rows, spans).mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, text string")
 
 
-def without_repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", words: int | None = None) -> DataFrame:
     """The rows themselves, all columns kept, with the text cut as dedup_lines() does and chars_col, if there is one, counted anew. Every row stays, if with an empty text."""
     own_id, own_row, held = fresh(docs, "_id", "_row", "_spans")
-    spans = earlier_spans(keyed(docs, id_col, text_col), _line_windows(run), run)
+    spans = earlier_spans(keyed(docs, id_col, text_col), _line_windows(run, words), *_widths(run, words))
     one = spans.groupBy(F.col("_row").alias(own_row), F.col("_id").alias(own_id)).agg(F.first("spans").alias(held))
     named = F.col(id_col).cast("long")
     met = docs.join(one.hint("shuffle_hash"), (F.xxhash64(named, F.col(text_col).cast("string")) == F.col(own_row)) & named.eqNullSafe(F.col(own_id)), "left")

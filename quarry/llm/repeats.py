@@ -1,4 +1,4 @@
-"""Earlier-occurrence search: which runs of `width` consecutive units (words, lines) also start earlier.
+"""Earlier-occurrence search: which runs of consecutive units (words, lines), of one of some widths, also start earlier.
 
 One pass hashes every window of every text. A window travels as 8 bytes of hash and about two of position, packed in
 one binary row per chunk of texts and bucket, so the shuffle moves arrays, not one row per window. Inside a chunk only the
@@ -30,7 +30,8 @@ _MOVED = re.compile(r"\b(?:Exchange|Join|Aggregate|Repartition\w*|RebalanceParti
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
 
-#: From a batch's bytes and offsets: units, hash of each window, first unit of each window, hash that chooses the bucket.
+#: From a batch's bytes and offsets: units, hash of each window, its place (rising), hash that chooses the bucket. With m
+#: widths, the place of a window of the k-th width that begins at unit u is m * u + k, which for one width is u.
 Windows = Callable[[np.ndarray, np.ndarray], tuple[T.Units, np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -66,7 +67,7 @@ def first_of_equal(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tup
     return shared[(d != d[lead]) | (p != p[lead])], shared
 
 
-def _pack(find: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(find: Windows, buckets: int, m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.chunks(batches, "_text"):
             data, offsets = T.utf8(batch.column("_text"))
@@ -76,8 +77,9 @@ def _pack(find: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 continue
             # xor-fold of the rows and their places: the same texts in the same order give the same name
             name = int(T.mix(np.bitwise_xor.reduce(T.mix(rows.view(np.uint64) + np.arange(len(rows), dtype=np.uint64)))[None]).view(np.int64)[0])
-            row = units.row[at]
-            place = at - units.base[row]
+            row = units.row[at // m]
+            base = units.base * m
+            place = at - base[row]
             gone, _ = first_of_equal(keys, ids[row], place)
             sent = np.ones(len(keys), bool)
             sent[gone] = False
@@ -92,7 +94,7 @@ def _pack(find: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 r = row[own]
                 begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                 used = r[begin]
-                out.append((int(k), name, 0, keys[own].tobytes(), T.deltas(at[own], np.uint32), T.planes(np.diff(begin, append=len(r)).astype(np.uint32)), T.deltas(ids[used], np.int64), T.deltas(units.base[used], np.uint32)))
+                out.append((int(k), name, 0, keys[own].tobytes(), T.deltas(at[own], np.uint32), T.planes(np.diff(begin, append=len(r)).astype(np.uint32)), T.deltas(ids[used], np.int64), T.deltas(base[used], np.uint32)))
             gone.sort()
             gone = at[gone]
             out.append((name % buckets, name, 1, T.deltas(ids, np.int64), rows.tobytes(), T.planes(units.count.astype(np.uint32)), T.deltas(gone, np.uint32), b""))
@@ -133,7 +135,9 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(out, *_REPLY_KINDS)])
 
 
-def _assemble(width: int) -> Callable[[pa.Table], pa.Table]:
+def _assemble(widths: tuple[int, ...]) -> Callable[[pa.Table], pa.Table]:
+    wide = np.array(widths, np.int64)
+
     def assemble(table: pa.Table) -> pa.Table:
         """A chunk: the spans of units covered by windows that start earlier elsewhere, for each text that has any."""
         kinds = np.asarray(table.column("kind"))
@@ -142,9 +146,9 @@ def _assemble(width: int) -> Callable[[pa.Table], pa.Table]:
         base = np.concatenate([[0], np.cumsum(count)])
         depth = np.zeros(base[-1] + 1, np.int64)
         for held in [whole["d"], *table.filter(pa.array(kinds == 0)).column("a").to_pylist()]:
-            at = T.undeltas(held, np.uint32)
+            at, k = np.divmod(T.undeltas(held, np.uint32), len(wide))
             np.add.at(depth, at, 1)
-            np.add.at(depth, at + width, -1)
+            np.add.at(depth, at + wide[k], -1)
         covered = np.cumsum(depth[:-1]) > 0
         # runs must not cross rows, so each row's first unit begins a new one
         begin, end = T.runs(covered)
@@ -160,12 +164,12 @@ def _assemble(width: int) -> Callable[[pa.Table], pa.Table]:
     return assemble
 
 
-def earlier_spans(rows: DataFrame, find: Windows, width: int) -> DataFrame:
+def earlier_spans(rows: DataFrame, find: Windows, *widths: int) -> DataFrame:
     """For rows of keyed(): _id, _row and spans, the covered units as int32 pairs (begin, end); texts without any are left out."""
     buckets = BUCKETS_PER_PARTITION * parallelism(rows.sparkSession)
-    packed = rows.mapInArrow(_pack(find, buckets), _PACKED)
+    packed = rows.mapInArrow(_pack(find, buckets, len(widths)), _PACKED)
     replies = packed.groupBy("bucket").applyInArrow(_judge, _REPLY)
-    return replies.groupBy("chunk").applyInArrow(_assemble(width), _SPANS)
+    return replies.groupBy("chunk").applyInArrow(_assemble(widths), _SPANS)
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

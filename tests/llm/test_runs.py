@@ -2,6 +2,7 @@
 
 import hashlib
 
+import corpus_pipeline
 from quarry.llm.lines import dedup_lines, without_repeated_lines
 from quarry.llm.substrings import dedup_substrings
 
@@ -64,3 +65,25 @@ def test_lines(docs, rows):
 
 def test_empty(empty):
     assert dedup_substrings(empty).count() == dedup_lines(empty).count() == without_repeated_lines(empty).count() == 0
+
+
+def test_short_runs_of_many_words(spark):
+    long = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 20), ("b", 19), ("c", 12), ("d", 8), ("e", 60))]
+    a, b, c, d, e = long
+    texts = [e, a, f"x\n {a}\t\ny", f"{b}\nz", b, f"{c}\n{d}\nq", f"r\n{c}\n\n{d}", f"{c}\nq", f"q\n{e}\n{e}", f"{a}\n{b}\n{d}", f"s\n{a}\n{b}\n{d}"]
+    units = [(i, [x.strip() for x in t.split("\n") if x.strip()]) for i, t in enumerate(texts)]
+    want = [set() for _ in units]
+    for n in (1, 2, 3):
+        first = {}
+        for i, u in units:
+            for s in range(len(u) - n + 1):
+                first.setdefault(tuple(u[s : s + n]), (i, s))
+                if first[tuple(u[s : s + n])] < (i, s) and (n == 3 or len(" ".join(u[s : s + n]).split()) >= 20):
+                    want[i].update(range(s, s + n))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in dedup_lines(docs, words=20).collect()}
+    assert [got[i].n_removed for i in range(len(texts))] == [len(w) for w in want] == [0, 0, 1, 0, 0, 0, 2, 0, 2, 1, 3]
+    assert got[2].text == "x\ny" and got[6].text == "r\n" and got[8].text == "q"
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert kept == {i: r.text for i, r in got.items()}
+    assert [r.n_removed for r in dedup_lines(docs).orderBy("doc_id").collect()] == [0] * 10 + [3]
