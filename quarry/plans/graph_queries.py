@@ -31,6 +31,11 @@ def ref_edges_long(spark: SparkSession, d: str) -> DataFrame:
     return G.ref_edges(S.chunks(spark, d).where("source IN ('src0', 'src1', 'src2')"), "long").select("i", "j", F.round("w", 6).alias("w"))
 
 
+def ref_edges_long_all(spark: SparkSession, d: str) -> DataFrame:
+    """The uncapped weighting over all documents."""
+    return G.ref_edges(S.chunks(spark, d), "long").select("i", "j", F.round("w", 6).alias("w"))
+
+
 def link_edges(spark: SparkSession, d: str) -> DataFrame:
     """href targets of pages, resolved against the pages' own file names."""
     pages = S.table(spark, d, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
@@ -122,17 +127,35 @@ def cross_links(spark: SparkSession, d: str) -> DataFrame:
     return op(n, e, n.select("path", F.crc32(F.substring_index("path", "/", 1)).alias("cid")), 15).select("a", "b", "weight", "via")
 
 
-def resolve_name(spark: SparkSession, d: str) -> DataFrame:
+def _resolved(spark: SparkSession, d: str, asked: str) -> DataFrame:
     c = S.chunks(spark, d)
-    names = c.where("idx % 50 = 3").select(F.explode(F.array(F.col("path"), F.col("symbol"), F.upper("symbol"), F.concat(F.col("idx").cast("string"), F.lit(".txt")), F.concat(F.lit("_"), F.col("idx").cast("string")), F.concat(F.lit("C"), F.substring("path", 3, 5)))).alias("name")).where("name <> ''")
+    names = c.where(asked).select(F.explode(F.array(F.col("path"), F.col("symbol"), F.upper("symbol"), F.concat(F.col("idx").cast("string"), F.lit(".txt")), F.concat(F.lit("_"), F.col("idx").cast("string")), F.concat(F.lit("C"), F.substring("path", 3, 5)))).alias("name")).where("name <> ''")
     return G.resolve_name(names, c, G.definitions(c))
 
 
-def explain_users(spark: SparkSession, d: str) -> DataFrame:
+def resolve_name(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d, "idx % 50 = 3")
+
+
+def resolve_name_50(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: ids divisible by 50."""
+    return _resolved(spark, d, "idx % 50 = 0")
+
+
+def _explained(spark: SparkSession, d: str, asked: str) -> DataFrame:
     from quarry.plans.tools import explain
 
     c = S.chunks(spark, d)
-    return explain(G.definitions(c).where("def_idx % 10 = 1").select("name"), c, _refs(spark, d))
+    return explain(G.definitions(c).where(asked).select("name"), c, _refs(spark, d))
+
+
+def explain_users(spark: SparkSession, d: str) -> DataFrame:
+    return _explained(spark, d, "def_idx % 10 = 1")
+
+
+def explain_users_50(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: names that ids divisible by 50 define."""
+    return _explained(spark, d, "def_idx % 50 = 0")
 
 
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +164,13 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return G.shortest_hops(e, c.where("idx IN (5, 6, 7)"), c.where("idx % 100 = 10"), limit=6)
 
 
+def shortest_path_50(spark: SparkSession, d: str) -> DataFrame:
+    """From the stated query set, ids divisible by 50, to every file."""
+    _, e = _graph(spark, d)
+    c = S.chunks(spark, d).select("path", "idx")
+    return G.shortest_hops(e, c.where("idx % 50 = 0"), c, limit=6)
+
+
 def communities(spark: SparkSession, d: str) -> DataFrame:
     n, e = _graph(spark, d)
     return G.communities(e, n)
@@ -152,7 +182,7 @@ def search_code(spark: SparkSession, d: str) -> DataFrame:
     return tool(S.chunks(spark, d), S.queries(spark, d), _dense(spark, d), _refs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (ref_edges_cap, ref_edges_long, link_edges, file_edges, neighbours, adjacency, hub_nodes, ppr_topk, ppr_transit_block, ppr_beta, expand, file_graph, file_nodes, hubs, undocumented_hubs, cross_links, resolve_name, explain_users, shortest_path, communities, search_code)}
+QUERIES = {f.__name__: f for f in (ref_edges_cap, ref_edges_long, ref_edges_long_all, link_edges, file_edges, neighbours, adjacency, hub_nodes, ppr_topk, ppr_transit_block, ppr_beta, expand, file_graph, file_nodes, hubs, undocumented_hubs, cross_links, resolve_name, resolve_name_50, explain_users, explain_users_50, shortest_path, shortest_path_50, communities, search_code)}
 
 _IDENT = r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Za-z_]') AND length(w) >= 4)"
 REFS = f"""
@@ -235,3 +265,7 @@ node AS MATERIALIZED (SELECT idx, coalesce(cnt, 1) AS cnt FROM chunks LEFT JOIN
 cd AS (SELECT qid, idx, pos FROM pr JOIN chunks USING (idx) WHERE is_code), {fold_sql('pk', 'cd', '6000')} SELECT * FROM pk""".replace(S.bm25_sql(), S.bm25_sql(True)),
 }
 ORACLE_SQL["search_code"] = ORACLE_SQL["search_code"].replace(S.bm25_sql(), S.bm25_sql(True))
+ORACLE_SQL["ref_edges_long_all"] = ORACLE_SQL["ref_edges_long"].replace(" WHERE source IN ('src0', 'src1', 'src2')", "")
+ORACLE_SQL["resolve_name_50"] = ORACLE_SQL["resolve_name"].replace("idx % 50 = 3", "idx % 50 = 0")
+ORACLE_SQL["explain_users_50"] = ORACLE_SQL["explain_users"].replace("def_idx % 10 = 1", "def_idx % 50 = 0")
+ORACLE_SQL["shortest_path_50"] = ORACLE_SQL["shortest_path"].replace("idx IN (5, 6, 7)", "idx % 50 = 0").replace(" WHERE cur IN (SELECT path FROM chunks WHERE idx % 100 = 10)", "")

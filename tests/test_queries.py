@@ -45,3 +45,12 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+WHOLE = {"ref_edges_long": "ref_edges_long_all", "resolve_name": "resolve_name_50", "explain_users": "explain_users_50", "shortest_path": "shortest_path_50"}
+
+
+@pytest.mark.parametrize("part,whole", WHOLE.items())
+def test_whole_form(part, whole):
+    sql = entry.oracle_sql()
+    assert sql[whole] != sql[part] and not any(x in sql[whole] for x in ("'src1'", "IN (5, 6, 7)", "% 100 ", "def_idx % 10 "))
