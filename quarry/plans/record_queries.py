@@ -55,23 +55,40 @@ def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cell", "n", *[F.round(x, 6).alias(x) for x in ("a", "b", "diff")], "wins", "losses")
 
 
-def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Difference of order totals by parity of the customer, over the first segment's customers as cases."""
-    o = S.table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("num"), (F.col("c_acctbal") / 1000).alias("diff"))
+def _bootstrap(customers: DataFrame) -> DataFrame:
+    o = customers.select(F.col("c_custkey").alias("num"), (F.col("c_acctbal") / 1000).alias("diff"))
     return E.bootstrap(o, 500).select("n", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")])
 
 
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Mean balance with its interval, over the first 50 customers as cases."""
+    return _bootstrap(S.table(spark, d, "customer").where("c_custkey < 50"))
+
+
+def bootstrap_ci_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all customers."""
+    return _bootstrap(S.table(spark, d, "customer"))
+
+
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     v = E.latencies(S.table(spark, d, "events"), "value", ["event_type"])
     return v.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
-def judge_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = S.table(spark, d, "events").where("event_id % 10 = 0")
+def _judged(e: DataFrame) -> DataFrame:
     answer = F.concat(F.lit('{"is_error": '), F.when(F.col("event_id") % 70 == 0, "true").otherwise("false"), F.lit(', "structured_output": {"scores": [{"id": 0, "score": 1.7}, {"id": 2, "score": '), (F.col("event_id") % 9 / 10).cast("string"), F.lit("}]}}"))
     return E.judge_scores(e.select(F.col("event_id").alias("qid"), answer.alias("answer")), 4)
 
 
+def judge_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(S.table(spark, d, "events").where("event_id % 10 = 0"))
+
+
+def judge_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as an answer."""
+    return _judged(S.table(spark, d, "events"))
+
+
 def pointer_channel(spark: SparkSession, d: str) -> DataFrame:
     """3 pointers at 200 tokens each leave the rest of the budget to chunks."""
     c = S.chunks(spark, d)
@@ -107,12 +124,21 @@ def decision_mining(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", "query", F.array_join("gold", ",").alias("gold"))
 
 
-def past_commits(spark: SparkSession, d: str) -> DataFrame:
+def _past(spark: SparkSession, d: str, asked: str) -> DataFrame:
     c = _commits(spark, d)
-    cases = c.where("cid % 1000 = 7").select(F.col("cid").alias("qid"), "ts", F.col("subject").alias("query"))
+    cases = c.where(asked).select(F.col("cid").alias("qid"), "ts", F.col("subject").alias("query"))
     return H.past_commits(cases, c.select("cid", "ts", "subject", "files"), _known(spark, d)).select("qid", "path", F.round("score", 6).alias("score"))
 
 
+def past_commits(spark: SparkSession, d: str) -> DataFrame:
+    return _past(spark, d, "cid % 1000 = 7")
+
+
+def past_commits_50(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: ids divisible by 50."""
+    return _past(spark, d, "cid % 50 = 0")
+
+
 def digest_latest(spark: SparkSession, d: str) -> DataFrame:
     present = _known(spark, d).withColumn("summary", F.concat(F.lit("about "), "path"))
     return H.digest(_commits(spark, d), present)
@@ -206,7 +232,7 @@ def stream_throttled(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (recall_at_budget, recall_files_k, oracle_max, compare_runs, bootstrap_ci, latency_percentiles, judge_scores, pointer_channel, case_mining, decision_mining, past_commits, digest_latest)
+    for f in (recall_at_budget, recall_files_k, oracle_max, compare_runs, bootstrap_ci, bootstrap_ci_all, latency_percentiles, judge_scores, judge_scores_all, pointer_channel, case_mining, decision_mining, past_commits, past_commits_50, digest_latest)
     + (status_summary, last_event_per_key, last_build_failed, asof_last_start, quiet_gaps, throttled_hint, usage_attribution, idle_sessions, event_windows, sliding_windows, json_props, stream_event_windows, stream_throttled)
 }
 
@@ -266,4 +292,6 @@ f AS (SELECT key, 0::BIGINT AS n, NULL::TIMESTAMP AS last, NULL::BIGINT AS id FR
 SELECT key, id AS event_id FROM f WHERE id IS NOT NULL""",
     "json_props": "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS total, count(props->>'k') AS n FROM events GROUP BY 1",
 }
-
+ORACLE_SQL["bootstrap_ci_all"] = ORACLE_SQL["bootstrap_ci"].replace(" WHERE c_custkey < 50", "")
+ORACLE_SQL["judge_scores_all"] = ORACLE_SQL["judge_scores"].replace(" WHERE event_id % 10 = 0", "")
+ORACLE_SQL["past_commits_50"] = ORACLE_SQL["past_commits"].replace("cid % 1000 = 7", "cid % 50 = 0")
