@@ -1,10 +1,9 @@
-"""Line dedup by winnowing: window minima of line hashes are the fingerprints; matches grow both ways; later runs go.
+"""Line dedup by exact windows of lines: each window of `run` lines is hashed whole, and those that start earlier elsewhere go.
 
-A run of at least `run` lines that occurs twice has, in every window of `run` lines, the same least line hash at the same
-place (the rightmost of equal ones). So each window is named by its fingerprint and its lines around it, and windows are
-dealt out by that name: those of one fingerprint with equal surroundings meet, while a line that a third of all texts
-hold, each time among other lines, spreads over all buckets. Each match is tied to the earliest occurrence, and
-matches at neighbouring fingerprints join to maximal runs.
+No fingerprint is selected, as winnowing would: every window travels, dealt out by a hash of all its lines, so a line that a
+third of all texts hold, each time among other lines, spreads over all buckets. The least line hash of a window is mixed
+into its name but decides nothing. Each window is tied to its earliest occurrence; windows that overlap or touch join to
+maximal runs.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from quarry.llm import textops as T
 from quarry.llm.frames import fresh
 from quarry.llm.repeats import earlier_spans, keyed, with_spans
 
-#: Shortest run of lines that counts as repeated (the winnowing guarantee threshold).
+#: Shortest run of lines that counts as repeated.
 RUN = 3
 #: Words from which a shorter run, a single line too, counts as well where that is asked for.
 WORDS = 20
