@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a classifier is fitted on at most (the documented bound of the fitting sample).
-SAMPLE_ROWS = 6_000
-#: Longer texts aren't fitted on, so that the sample's size in memory is bounded too; they are scored whole like all others.
-SAMPLE_CHARS = 32_768
+from quarry.llm.frames import Tables
+
+#: Rows that a classifier is fitted on at most, and the UTF-8 bytes of their texts (the documented bounds of the fitting sample).
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24 << 20
 
 
 def fold_of(id_col: str, modulus: int) -> Column:
@@ -17,21 +17,26 @@ def fold_of(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("long").cast("string")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, excluded: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[pa.Array, list[int]]:
-    """Texts and labels (0 or 1) of at most `rows` labelled rows whose fold isn't `excluded`, ordered by id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, excluded: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[pa.Array, list[int]]:
+    """Texts and labels (0 or 1) of at most `rows` labelled rows whose fold isn't `excluded`, with `size` bytes at most, ordered by id.
 
-    The choice is by hash of the id, so it is the same on every run. Null labels and ids are left out; of repeated labels of a
-    document the largest counts, of repeated documents the least text.
+    Rows are taken in the order of a hash of the id, so the choice is the same on every run and favours neither short nor long texts; one that would pass
+    the bound of bytes is left out and the next ones are still tried. Null labels and ids are left out; of repeated labels of a
+    document the largest counts, of repeated documents the least text, null as empty.
     """
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id IS NOT NULL AND y IS NOT NULL")
     known = known.where(fold_of("_id", modulus) != excluded).groupBy("_id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text")).where(F.coalesce(F.length("_text"), F.lit(0)) <= SAMPLE_CHARS)
-    # at most `rows` pairs of numbers are broadcast, and at most as many texts come back
-    met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "y", F.coalesce("_text", F.lit("")).alias("_text"))
-    got = {}
-    for r in met.limit(rows).collect():
-        if r["_id"] not in got or r["_text"] < got[r["_id"]][1]:
-            got[r["_id"]] = (int(r["y"] > 0), r["_text"])
-    held = [got[k] for k in sorted(got)]
-    return pa.array([t for _, t in held], pa.large_string()), [y for y, _ in held]
+    chosen = known.withColumn("_order", F.xxhash64("_id", F.lit(17))).orderBy("_order", "_id").limit(rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    # at most `rows` short rows are broadcast
+    met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_order").agg(F.max("y").alias("y"), F.min("_text").alias("_text"))
+    with Tables(docs.sparkSession) as tables:
+        met = tables.write(met.withColumn("_size", F.octet_length("_text")))
+        taken, left = [], size
+        for r in met.select("_id", "_size").orderBy("_order", "_id").collect():  # at most `rows`
+            if r["_size"] <= left:
+                taken.append(r["_id"])
+                left -= r["_size"]
+        own = docs.sparkSession.createDataFrame([(x,) for x in taken], "_own long")
+        held = sorted(met.join(F.broadcast(own), F.col("_id") == F.col("_own")).select("_id", "y", "_text").collect())
+    return pa.array([r["_text"] for r in held], pa.large_string()), [int(r["y"] > 0) for r in held]

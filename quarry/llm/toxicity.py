@@ -286,6 +286,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
-    """The rows that toxicity_scores() wouldn't predict as toxic, with all their columns; texts are scored where they lie, nothing is shuffled."""
+    """The rows that toxicity_scores() wouldn't predict as toxic, with all their columns; texts are scored where they lie, nothing is shuffled.
+
+    Without labels of both classes there is no model to reject by, so all rows stay. Null and empty texts are scored as empty ones; repeated
+    rows share a score; a row whose score is just the cut goes; an empty table gives none.
+    """
     model = fit(*labelled_sample(docs, labels, label_col, 5, 0, id_col, text_col, sample_rows))
+    if "constant" in model:
+        return docs
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), text_col, cut), docs.schema)
