@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import checkpointed, components, fresh, parallelism
+from quarry.llm.frames import Tables, components, fresh, parallelism
 
 SHINGLE = 5
 #: 32 bands of 5: a pair of similarity 0.8 is missed with probability 3e-6.
@@ -130,7 +130,7 @@ def _sign(width: int, bands: int, per_band: int):
             size = np.bincount(row, weight, batch.num_rows).astype("<u8").view(np.uint8).reshape(-1, 8)
             packed = np.concatenate([size, spread, packed], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(band.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *names, pa.array(count), lists, pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "k1", "k2", "words", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *names, pa.array(count), lists, pa.array([x.tobytes() for x in packed], pa.binary())], ["id", "row", "k1", "k2", "words", "bands", "sketch"])
 
     return sign
 
@@ -145,12 +145,12 @@ def _compare(width: int, similarity: tuple[int, int]):
             row, key, weight, _ = shingles(data, offsets, width)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             out_a, out_b = [], []
-            for k, (a, b, salt) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("salt").to_pylist(), strict=True)):
+            for k, (a, ar, b, br, salt) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("a", "ar", "b", "br", "salt")), strict=True)):
                 own, n = key[edge[k] : edge[k + 1]], weight[edge[k] : edge[k + 1]]
-                if a == b:
-                    lead, keys, counts = (a, salt), own.copy(), n.copy()
+                if a == b and ar == br:
+                    lead, keys, counts = (a, ar, salt), own.copy(), n.copy()
                     continue
-                if lead != (a, salt) or not len(keys) or not len(own):
+                if lead != (a, ar, salt) or not len(keys) or not len(own):
                     continue
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 both = int(np.where(keys[at] == own, np.minimum(counts[at], n), 0).sum())
@@ -162,20 +162,23 @@ def _compare(width: int, similarity: tuple[int, int]):
     return compare
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose multiset Jaccard similarity, counted exactly, reaches the threshold. texts: id and _text, ids unique.
+def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose multiset Jaccard similarity, counted exactly, reaches the threshold.
 
-    Each pair moves one text: b's goes to a's group, and a's text once to each of its salted parts.
+    pairs: ids a, b and the hashes ar, br of the texts meant; texts: _id, _row (that hash) and _text. Each pair moves one text: b's goes
+    to a's group, and a's text once to each of its salted parts. Only texts with more than PART_TEXTS partners have several.
     """
-    parts = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PART_TEXTS).cast("int").alias("parts"))
-    asked = pairs.join(parts, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    asked = asked.union(asked.select("a", F.col("a").alias("b"), "salt").distinct())
+    large = tables.write(pairs.groupBy(F.col("a").alias("_a"), F.col("ar").alias("_ar")).agg(F.ceil(F.count("*") / PART_TEXTS).cast("int").alias("parts")).where("parts > 1"))
+    asked = pairs.join(large, (F.col("a") == F.col("_a")) & (F.col("ar") == F.col("_ar")), "left")
+    asked = asked.select("a", "ar", "b", "br", F.pmod(F.xxhash64("b", "br"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    asked = asked.union(asked.select("a", "ar", "a", "ar", "salt").distinct())
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLOTS)).cast("int")
     needed = pairs.select(slot("a").alias("_slot")).union(pairs.select(slot("b"))).distinct()
-    texts = texts.withColumn("_slot", slot("id")).join(F.broadcast(needed), "_slot", "left_semi").drop("_slot")
-    met = texts.join(asked.hint("shuffle_hash"), texts["id"] == asked["b"]).select("a", "b", "salt", "_text")
+    texts = texts.withColumn("_slot", slot("_id")).join(F.broadcast(needed), "_slot", "left_semi").drop("_slot")
+    met = texts.join(asked, (F.col("_id") == F.col("b")) & (F.col("_row") == F.col("br"))).select("a", "ar", "b", "br", "salt", "_text")
     n = parallelism(pairs.sparkSession)
-    ordered = met.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"), "b")
+    lead = (F.col("a") == F.col("b")) & (F.col("ar") == F.col("br"))
+    ordered = met.repartition(n, "a", "ar", "salt").sortWithinPartitions("a", "ar", "salt", ~lead, "b")
     return ordered.mapInArrow(_compare(width, similarity), "a long, b long")
 
 
@@ -186,7 +189,7 @@ def _promising(similarity: tuple[int, int]):
     def unit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
         band, p, q = (table.column(x)[0].as_py() for x in ("band", "p", "q"))
-        rep, component, own = (np.asarray(table.column(x)) for x in ("rep", "component", "own"))
+        rep, hashed, component, own = (np.asarray(table.column(x)) for x in ("rep", "row", "component", "own"))
         if len(rep) < 2:
             return
         bands = np.asarray(table.column("bands").combine_chunks().flatten(), np.int64).reshape(len(rep), -1)[:, :band]
@@ -214,7 +217,7 @@ def _promising(similarity: tuple[int, int]):
                 ok[k : k + (1 << 15)] = both * sum(similarity) >= similarity[0] * (size[x] + size[y])
             a, b = a[ok], b[ok]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[a], hashed[a], rep[b], hashed[b])], ["a", "ar", "b", "br"])
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in T.grouped(batches, names):
@@ -228,38 +231,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are linked if the weighted Jaccard similarity of their word shingle multisets reaches similarity[0] / similarity[1]. Words are cut at
     ASCII white space and unchanged. A text of fewer than `width` words is one shingle; null and empty texts are linked with nothing and are kept. Null ids
-    are linked with nothing, class null, kept. Rows whose id repeats are one document: each gets a row, of the same class. An
-    empty table gives no rows; other columns aren't read.
+    are linked with nothing, class null, kept. Rows whose id repeats are one document, with the links of all its texts: each gets a row, of the same class. An
+    empty table gives no rows; other columns aren't read. Tables written on the way are deleted; the returned rows lie in the shared folder.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = checkpointed(texts.mapInArrow(_sign(width, bands, rows), "id long, k1 long, k2 long, words long, bands array<long>, sketch binary"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(text_col).cast("string")).alias("_row"))
+    with Tables(docs.sparkSession) as tables:
+        return tables.keep(tables.write(_classified(texts, tables, width, similarity, bands, rows)))
+
+
+def _classified(texts: DataFrame, tables: Tables, width: int, similarity: tuple[int, int], bands: int, rows: int) -> DataFrame:
+    spot = ["band", "bucket"]
+    signed = tables.write(texts.mapInArrow(_sign(width, bands, rows), "id long, row long, k1 long, k2 long, words long, bands array<long>, sketch binary"))
     solid = signed.where("words > 0 AND id IS NOT NULL")
-    classes = checkpointed(solid.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = checkpointed(banded.join(shared, ["band", "bucket"]))
-    met = members.groupBy("rep").agg(F.sum("m").alias("met"))
-    leads = members.join(met, "rep").groupBy("band", "bucket").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("lead"))
-    stars = checkpointed(members.join(leads, ["band", "bucket"]).where("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    held = texts.where("_id IS NOT NULL").select(F.col("_id").alias("id"), "_text")
-    links = checkpointed(verified(stars, held, width, similarity))
-    linked = components(links)
+    # a class of equal multisets stands as its smallest id and the hash of one of that id's texts
+    classes = tables.write(solid.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("first"), F.first("bands").alias("bands")).select("k1", "k2", F.col("first.id").alias("rep"), F.col("first.row").alias("row"), "bands"))
+    banded = classes.select("rep", "row", F.posexplode("bands").alias(*spot))
+    shared = tables.write(banded.groupBy(*spot).agg(F.count("*").alias("m")).where("m > 1"))
+    members = tables.write(banded.join(shared, spot))
+    met = members.groupBy("rep", "row").agg(F.sum("m").alias("met"))
+    leads = tables.write(members.join(met, ["rep", "row"]).groupBy(*spot).agg(F.max_by(F.struct("rep", "row"), F.struct("met", -F.col("rep"))).alias("lead")))
+    stars = tables.write(members.join(leads, spot).select(F.col("lead.rep").alias("a"), F.col("lead.row").alias("ar"), F.col("rep").alias("b"), F.col("row").alias("br")).where("a <> b").distinct())
+    tables.drop(shared, leads)
+    # ids that repeat with different texts tie these texts' classes together
+    repeated = signed.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    tied = solid.join(repeated, "id").select("id", "k1", "k2").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = tables.write(verified(stars, texts, tables, width, similarity).union(tied).distinct())
+    linked = components(links, tables)
     # buckets that the first comparisons have left in several components
-    placed = members.join(linked, members["rep"] == linked["node"], "left").select("band", "bucket", "m", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.where("m > 2").groupBy("band", "bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band", "bucket")
-    again = placed.join(mixed, ["band", "bucket"]).join(classes.select("rep", "bands", "sketch"), "rep")
+    placed = members.join(linked, members["rep"] == linked["node"], "left").select(*spot, "m", "rep", "row", F.coalesce("component", "rep").alias("component"))
+    mixed = tables.write(placed.where("m > 2").groupBy(*spot).agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select(*spot))
+    again = placed.join(mixed, spot)
+    sketches = signed.select(F.col("id").alias("rep"), "row", "bands", "sketch").join(again.select("rep", "row").distinct(), ["rep", "row"], "left_semi").dropDuplicates(["rep", "row"])
+    again = again.join(sketches, ["rep", "row"])
     again = again.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    again = again.select("band", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "component", "bands", "sketch")
-    again = again.repartition(parallelism(docs.sparkSession), "band", "bucket", "p", "q").sortWithinPartitions("band", "bucket", "p", "q")
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = checkpointed(again.mapInArrow(_promising(similarity), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+    again = again.select(*spot, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "row", "component", "bands", "sketch")
+    again = again.repartition(parallelism(texts.sparkSession), *spot, "p", "q").sortWithinPartitions(*spot, "p", "q")
+    ends = ["a", "ar", "b", "br"]
+    tested = stars.select(*ends).union(stars.select("b", "br", "a", "ar"))
+    cross = tables.write(again.mapInArrow(_promising(similarity), "a long, ar long, b long, br long").distinct().join(tested, ends, "left_anti"))
+    tables.drop(members, mixed, stars)
     if not cross.isEmpty():
-        linked = components(links.union(verified(cross, held, width, similarity)))
+        linked = components(links.union(verified(cross, texts, tables, width, similarity)), tables)
     named = classes.select("k1", "k2", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     known = signed.select("id", "k1", "k2", ((F.col("words") > 0) & F.col("id").isNotNull()).alias("solid"))
     joined = known.where("solid").join(named, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "class_id")
-    alone = known.where("NOT solid").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"))
+    # a repeated id may also stand on a row without words
+    alone = known.where("NOT solid").join(linked, F.col("id") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("class_id"))
     return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 

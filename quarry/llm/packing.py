@@ -9,21 +9,20 @@ table's own bound is met. The driver sees counts by length (as many as the capac
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import checkpointed
+from quarry.llm.frames import Tables
 from quarry.llm.repeats import NULL_ID
 from quarry.llm.tokens import crc_of_ids, id_encoder
 
 CAPACITY = 1024
 #: Pieces that one task packs.
 PART_ROWS = 65_536
-#: Exchanges at most.
-ROUNDS = 4
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, _key long"
 _PACKED = _PIECE + ", sequence_id long, offset long, _slack long, _gap long, _loosest boolean"
 
@@ -154,7 +153,7 @@ def _pack(capacity: int, space: int) -> Callable[[tuple, pa.Table], pa.Table]:
             if len(other[2]) < len(free):
                 bins, offsets, free = other
         gap = len(free) - bound
-        made = {"sequence_id": (np.int64(space) << 56) + (np.int64(part) << 28) + bins, "offset": offsets, "_slack": free[bins], "_gap": np.full(len(bins), gap, np.int64), "_loosest": bins == int(np.argmax(free))}
+        made = {"sequence_id": (np.int64(space) << 48) + (np.int64(part) << 28) + bins, "offset": offsets, "_slack": free[bins], "_gap": np.full(len(bins), gap, np.int64), "_loosest": bins == int(np.argmax(free))}
         for name, values in made.items():
             table = table.append_column(name, pa.array(values))
         return table.select([x.split()[0] for x in _PACKED.split(", ")])
@@ -162,44 +161,45 @@ def _pack(capacity: int, space: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return pack
 
 
-def _packed(pieces: DataFrame, n: int, capacity: int, space: int, part_rows: int) -> DataFrame:
+def _packed(pieces: DataFrame, n: int, capacity: int, space: int, part_rows: int, tables: Tables) -> DataFrame:
     parts = max(1, -(-n // part_rows))
     dealt = pieces.select(*[x.split()[0] for x in _PIECE.split(", ")], F.pmod(F.xxhash64("_key", "piece", F.lit(space)), F.lit(parts)).cast("int").alias("_part"))
-    return checkpointed(dealt.groupBy("_part").applyInArrow(_pack(capacity, space), _PACKED))
+    return tables.keep(tables.write(dealt.groupBy("_part").applyInArrow(_pack(capacity, space), _PACKED)))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap.
 
     A document is its token ids and then end_id; only one of more than `capacity` is cut, into pieces of `capacity` tokens of which the first may be
-    shorter. Sequences hold at most `capacity` tokens, gapless from offset 0. Null and empty texts are a piece of
+    shorter. Sequences hold at most `capacity` tokens, gapless from offset 0. gap: bins of the partition that packed this piece above its
+    lower bound; 0 certifies that no packing of that partition has fewer. Null and empty texts are a piece of
     end_id alone; null ids stay null, repeated rows are packed each by itself, an empty table gives no rows. Other columns
-    aren't read.
+    aren't read. The returned rows lie in the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_row"))
-    pieces = checkpointed(rows.mapInArrow(_pieces(path, end_id, capacity), _PIECE))
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
-        counts[r["length"]] = r["count"]
-    bound = lower_bound(counts)
-    packed = _packed(pieces, int(counts.sum()), capacity, 0, part_rows)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    done, used = [], 0
-    for space in range(1, rounds + 1):
-        total = packed.where("offset = 0").count()
-        if used + total <= bound:
-            break
-        loose = F.col("_slack").__gt__(0) & (F.col("_gap").__gt__(0) | F.col("_loosest"))
-        freed = packed.where(loose)
-        n, bins = freed.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
-        if bins < 2:
-            break
-        again = _packed(freed, n, capacity, space, part_rows)
-        if again.where("offset = 0").count() >= bins:
-            break
-        done.append(packed.where(~loose))
-        used += total - bins
-        packed = again
+    with Tables(docs.sparkSession) as tables:
+        pieces = tables.write(rows.mapInArrow(_pieces(path, end_id, capacity), _PIECE))
+        counts = np.zeros(capacity + 1, np.int64)
+        for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
+            counts[r["length"]] = r["count"]
+        bound = lower_bound(counts)
+        packed = _packed(pieces, int(counts.sum()), capacity, 0, part_rows, tables)
+        done, used = [], 0
+        for space in count(1):
+            total = packed.where("offset = 0").count()
+            if used + total <= bound:
+                break
+            loose = F.col("_slack").__gt__(0) & (F.col("_gap").__gt__(0) | F.col("_loosest"))
+            freed = packed.where(loose)
+            n, bins = freed.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+            if bins < 2:
+                break
+            again = _packed(freed, n, capacity, space, part_rows, tables)
+            if again.where("offset = 0").count() >= bins:
+                break
+            done.append(packed.where(~loose))
+            used += total - bins
+            packed = again
     for part in done:
         packed = packed.unionByName(part)
-    return packed.select(*columns)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.col("_gap").alias("gap"))

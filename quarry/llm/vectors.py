@@ -4,8 +4,10 @@ Normalised vectors are projected on Gaussian directions, shifted, and cut into s
 vectors of cosine c lie sqrt(2 - 2c) apart and meet in a table with a known probability, from which the number of tables
 follows so that a pair just at the threshold is missed with probability MISS; nearer pairs are missed far more rarely. k
 grows with the logarithm of the table so that unrelated vectors stay about COMPANY to a bucket. Equal vectors are
-collapsed first. A bucket of more than BLOCK vectors is compared block by block, each pair of blocks a unit of its own. A pair
-counts in the first table in which it meets, so counts need no list of pairs; links leave a bucket as a spanning forest.
+collapsed first. Only names travel while buckets are formed; a bucket of more than BLOCK vectors is compared block by block, each pair
+of blocks a unit of its own, and a vector is fetched once for each of its units, in single precision where that is exact. A pair
+counts in the first table in which it meets, so counts need no list of pairs; the keys of earlier tables are drawn
+again for linked vectors alone, so a vector's bytes grow with the number of tables and no faster. Links leave a bucket as a spanning forest.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import checkpointed, components, parallelism
+from quarry.llm.frames import Tables, components, least_labels, parallelism
 
 THRESHOLD = 0.9
-MISS = 1e-3
+#: Probability that a pair just at the threshold is missed.
+MISS = 1e-5
 COMPANY = 1000
 #: Width of a step, in units of the (normalised) vectors.
 STEP = 1.5
@@ -38,15 +41,15 @@ def meeting(distance: float, step: float = STEP) -> float:
     return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def tables(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
+def tables_of(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Hash values for each key and number of tables, for n vectors."""
     near, far = meeting(math.sqrt(2 - 2 * threshold)), meeting(math.sqrt(2))
     k = max(2, math.ceil(math.log(max(n, 1) / COMPANY) / -math.log(far)))
     return k, math.ceil(math.log(miss) / math.log1p(-(near**k)))
 
 
-def _floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each vector as little-endian doubles; null for one that can't be compared."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector as a byte for the width of a component (4 if single precision holds it exactly, else 8) and the components; null for one that can't be compared."""
     for batch in batches:
         out = []
         for x in batch.column("_vec"):
@@ -54,90 +57,89 @@ def _floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x.is_valid and len(x) and x.values.null_count == 0:
                 v = np.asarray(x.values, np.float64)
                 norm = math.sqrt(float(v @ v)) if np.isfinite(v).all() else 0.0
-                held = (v + 0.0).astype("<f8").tobytes() if norm > 0 and math.isfinite(norm) else None
+                if norm > 0 and math.isfinite(norm):
+                    v = v + 0.0
+                    with np.errstate(over="ignore"):
+                        short = v.astype("<f4")
+                    held = b"\x04" + short.tobytes() if (short == v).all() else b"\x08" + v.astype("<f8").tobytes()
             out.append(held)
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.binary())], ["id", "vec"])
 
 
+def _doubles(held: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<f4" if x[0] == 4 else "<f8", offset=1).astype(np.float64) for x in held]
+
+
 def _keys(vectors: np.ndarray, k: int, count: int, step: float) -> np.ndarray:
     """Key of each vector (rows, of one dimension) in each table."""
     dim = vectors.shape[1]
-    rng = np.random.default_rng([_SEED, dim])
-    directions, shift = rng.standard_normal((dim, k * count)), rng.uniform(0, step, k * count)
     unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
-    cell = np.floor((unit @ directions + shift) / step).astype(np.int64).astype(np.uint64).reshape(len(vectors), count, k)
     key = np.full((len(vectors), count), dim, np.uint64) + np.arange(count, dtype=np.uint64)[None, :] * np.uint64(1 << 32)
-    for j in range(k):
-        key = T.mix(key + cell[:, :, j])
+    for at in range(count):  # a table's directions come from its own seed, so earlier tables can be drawn without the later ones
+        rng = np.random.default_rng([_SEED, dim, at])
+        # summed component by component, so that the same vector falls into the same cell whatever else is in its batch
+        directions, shift = rng.standard_normal((dim, k)), rng.uniform(0, step, k)
+        place = np.broadcast_to(shift, (len(vectors), k)).copy()
+        for j in range(dim):
+            place += unit[:, j, None] * directions[j]
+        cell = np.floor(place / step).astype(np.int64).astype(np.uint64)
+        for j in range(k):
+            key[:, at] = T.mix(key[:, at] + cell[:, j])
     return key.view(np.int64)
 
 
-def _hashed(k: int, count: int, step: float, whole: bool):
+def _hashed(k: int, count: int, step: float):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                held = part.column("vec").to_pylist()
+                held = _doubles(part.column("vec").to_pylist())
                 size = np.array([len(x) for x in held])
                 for dim in np.unique(size):
                     own = np.flatnonzero(size == dim)
-                    vectors = np.frombuffer(b"".join(held[i] for i in own), "<f8").reshape(len(own), -1)
-                    key = _keys(vectors, k, count, step)
-                    table = np.tile(np.arange(count, dtype=np.int32), len(own))
-                    columns, names = [pa.array(table), pa.array(key.reshape(-1))], ["tab", "key"]
-                    if whole:
-                        again = pa.array(np.repeat(own, count))
-                        columns += [part.column("rep").take(again), part.column("n").take(again), part.column("vec").take(again), pa.array([x.tobytes() for x in key for _ in range(count)], pa.binary())]
-                        names += ["rep", "n", "vec", "keys"]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    key = _keys(np.stack([held[i] for i in own]), k, count, step)
+                    again = pa.array(np.repeat(own, count))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(count, dtype=np.int32), len(own))), pa.array(key.reshape(-1)), part.column("rep").take(again), part.column("hash").take(again)], ["tab", "key", "rep", "hash"])
 
     return hashed
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Least label of each node's component once the links (a, b) are added."""
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _compare(threshold: float):
+def _compare(threshold: float, k: int, step: float):
     names = ["tab", "key", "p", "q"]
 
     def unit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        head = {x: table.column(x)[0].as_py() for x in [*names, "blocks"]}
-        rep, n, block = (np.asarray(table.column(x)) for x in ("rep", "n", "own"))
+        tab, p, q = (table.column(x)[0].as_py() for x in ("tab", "p", "q"))
+        rep, hashed, n, block = (np.asarray(table.column(x)) for x in ("rep", "hash", "n", "own"))
         if len(rep) < 2:
             return
-        v = np.frombuffer(b"".join(table.column("vec").to_pylist()), "<f8").reshape(len(rep), -1)
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(rep), -1)[:, : head["tab"]]
+        held = _doubles(table.column("vec").to_pylist())
+        if len({len(x) for x in held}) > 1:  # different lengths met by a colliding key: they link with nothing
+            size = np.array([len(x) for x in held])
+            for dim in np.unique(size):
+                yield from unit(table.filter(pa.array(size == dim)).to_batches())
+            return
+        v = np.stack(held)
         norm = np.sqrt((v * v).sum(1))
-        links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        links, label, found = np.zeros(len(rep), np.int64), np.arange(len(rep)), []
         for at in range(0, len(rep), _SLICE):
             cosine = v[at : at + _SLICE] @ v.T / (norm[at : at + _SLICE, None] * norm[None, :])
             a, b = np.nonzero(cosine >= threshold)
             a = a + at
-            ok = (a < b) & ((block[a] != block[b]) if head["p"] != head["q"] else True)
+            ok = (a < b) & ((block[a] != block[b]) if p != q else True)
             a, b = a[ok], b[ok]
-            for t in range(keys.shape[1]):
-                ok = keys[a, t] != keys[b, t]
-                a, b = a[ok], b[ok]
+            if tab and len(a):
+                met = np.unique(np.concatenate([a, b]))
+                keys = _keys(v[met], k, tab, step)
+                fresh = (keys[np.searchsorted(met, a)] != keys[np.searchsorted(met, b)]).all(1)
+                a, b = a[fresh], b[fresh]
             if len(a):
                 np.add.at(links, a, n[b])
                 np.add.at(links, b, n[a])
-                label = _roots(len(rep), a, b, label)
+                label = least_labels(a, b, label)
         held = np.flatnonzero(links)
         if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[held]), pa.array(rep[label[held]]), pa.array(links[held])], ["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[held], hashed[held], rep[label[held]], links[held])], ["a", "ah", "b", "links"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in T.grouped(batches, names):
@@ -151,23 +153,34 @@ def vector_links(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link with nothing, nor do vectors of
     different lengths. Each row counts, also one whose id repeats (such rows share a component). An empty table
-    gives no rows; other columns, labels too, aren't read.
+    gives no rows; other columns, labels too, aren't read. Tables written on the way are deleted; the returned rows lie in the shared folder.
     """
-    vectors = table.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec")).mapInArrow(_floats, "id long, vec binary")
+    vectors = table.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    with Tables(table.sparkSession) as tables:
+        return tables.keep(tables.write(_linked(vectors, tables, threshold, miss, block)))
+
+
+def _linked(vectors: DataFrame, tables: Tables, threshold: float, miss: float, block: int) -> DataFrame:
+    bucket, name = ["tab", "key"], ["rep", "hash"]
+    vectors = tables.write(vectors.mapInArrow(_packed, "id long, vec binary"))
     solid = vectors.where("id IS NOT NULL AND vec IS NOT NULL")
-    classes = checkpointed(solid.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    k, count = tables(classes.count(), threshold, miss)
-    met = classes.mapInArrow(_hashed(k, count, STEP, False), "tab int, key long").groupBy("tab", "key").agg(F.count("*").alias("m")).where("m > 1")
-    dealt = classes.mapInArrow(_hashed(k, count, STEP, True), "tab int, key long, rep long, n long, vec binary, keys binary").join(met, ["tab", "key"])
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # a class of equal vectors is named by its smallest id and the hash of its components
+    classes = tables.write(solid.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("hash", F.xxhash64("vec")))
+    k, count = tables_of(classes.count(), threshold, miss)
+    keys = tables.write(classes.mapInArrow(_hashed(k, count, STEP), "tab int, key long, rep long, hash long"))
+    met = tables.write(keys.groupBy(*bucket).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").select(*bucket, "blocks"))
+    dealt = keys.join(met, bucket).withColumn("own", F.pmod(F.xxhash64(*name), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tab", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "blocks", "rep", "n", "vec", "keys")
-    units = dealt.repartition(parallelism(table.sparkSession), "tab", "key", "p", "q").sortWithinPartitions("tab", "key", "p", "q")
-    found = checkpointed(units.mapInArrow(_compare(threshold), "a long, b long, links long"))
-    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    linked = components(found.select("a", "b")).withColumnRenamed("node", "member")
-    named = classes.join(links, F.col("rep") == F.col("node"), "left").join(linked, F.col("rep") == F.col("member"), "left")
+    dealt = dealt.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", *name).join(classes.select(*name, "n", "vec"), name)
+    units = dealt.repartition(parallelism(vectors.sparkSession), *bucket, "p", "q").sortWithinPartitions(*bucket, "p", "q")
+    found = tables.write(units.mapInArrow(_compare(threshold, k, STEP), "a long, ah long, b long, links long"))
+    tables.drop(keys, met)
+    links = found.groupBy(F.col("a").alias("rep"), F.col("ah").alias("hash")).agg(F.sum("links").alias("links"))
+    # ids that repeat with different vectors tie those vectors' classes together
+    repeated = solid.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    tied = solid.join(repeated, "id").join(classes.select("vec", "rep"), "vec").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    linked = components(found.select("a", "b").union(tied), tables).withColumnRenamed("node", "member")
+    named = classes.join(links, name, "left").join(linked, F.col("rep") == F.col("member"), "left")
     named = named.select(F.col("vec").alias("_vec"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     joined = vectors.join(named, (vectors["vec"] == named["_vec"]) & vectors["id"].isNotNull(), "left")
     component = F.coalesce("component_id", "id")

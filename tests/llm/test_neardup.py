@@ -68,6 +68,25 @@ def test_one_large_group(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == want
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """A document of several rows has the links of all its texts."""
+    words = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)], [f"c{i}" for i in range(60)]
+    a, b, c = (" ".join(x) for x in words)
+    a2, b2 = " ".join([*words[0], "x"]), " ".join([*words[1], "x"])
+    rows = [(1, a), (1, b), (2, a2), (3, b2), (6, None), (6, c), (5, c), (8, a), (8, "alone"), (9, "alone")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (6, 5, False), (6, 5, False), (8, 1, False), (8, 1, False), (9, 1, False)]
+
+
+def test_tables_are_deleted(spark, docs, tmp_path):
+    import glob
+
+    held = lambda: set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/../*/tables-*/*"))
+    before = held()
+    near_duplicates(docs).count()
+    assert len(held() - before) <= 1
+
+
 def test_kept_rows(docs, empty):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
