@@ -30,6 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Tables:
     """Parquet tables in the shared folder that cut a plan's lineage; on leaving, all that weren't kept are deleted.
 
@@ -44,14 +49,15 @@ class Tables:
 
     def __exit__(self, *_: object) -> None:
         for path in [p for p, _ in self.held.values()]:
-            self._delete(path)
+            deleted(self.spark, path)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.held)}-{uuid.uuid4().hex[:8]}"
         before = self.spark.conf.get(_FREE_SHUFFLES, "false")
         self.spark.conf.set(_FREE_SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            # small row groups: a row of packed arrays may be some MB, and a reader holds a group at a time
+            df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
         finally:
             self.spark.conf.set(_FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -62,17 +68,13 @@ class Tables:
         """Delete tables that nothing reads any more."""
         for t in tables:
             path, _ = self.held.pop(id(t))
-            self._delete(path)
+            deleted(self.spark, path)
 
     def keep(self, table: DataFrame) -> DataFrame:
         """Leave a table in place: a result still reads it."""
         self.held.pop(id(table))
         return table
 
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
 
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: how finely this cluster deals out a table."""

@@ -91,9 +91,12 @@ SELECT node AS vec_id, (SELECT count(*) FROM lk WHERE a = node) AS n_links, min(
     "op6_substring_dedup": f"""WITH units AS MATERIALIZED (SELECT doc_id, {_WORDS} AS u FROM documents), {_WINDOWS.format(n=20, sep="' '")},
 g AS (SELECT doc_id, list(i) AS x FROM gone GROUP BY 1)
 SELECT doc_id, len(u) AS n_words, coalesce(len(x), 0) AS n_removed, sha256(array_to_string(CASE WHEN x IS NULL THEN u ELSE list_filter(u, lambda w, i: NOT list_contains(x, i)) END, ' ')) AS kept_sha256 FROM units LEFT JOIN g USING (doc_id)""",
-    "op8_line_dedup": f"""WITH ln AS MATERIALIZED (SELECT doc_id, j, l, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents)),
+    "op8_line_dedup": r"""WITH ln AS MATERIALIZED (SELECT doc_id, j, l, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents)),
 nb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM ln WHERE t <> ''),
-units AS (SELECT doc_id, list(t ORDER BY i) AS u FROM nb GROUP BY 1), {_WINDOWS.format(n=3, sep="chr(10)")},
+units AS MATERIALIZED (SELECT doc_id, list(t ORDER BY i) AS u FROM nb GROUP BY 1),
+win AS (SELECT doc_id, n, i, array_to_string(u[i:i + n - 1], chr(10)) AS w FROM (SELECT doc_id, n, u, unnest(range(1, len(u) - n + 2)) AS i FROM units, (SELECT unnest([1, 2, 3]) AS n) WHERE len(u) >= n)),
+later AS (SELECT doc_id, n, i, w FROM (SELECT *, row_number() OVER (PARTITION BY n, w ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM later WHERE n = 3 OR len(regexp_extract_all(w, '[^\x20\x09-\x0D]+')) >= 20),
 dr AS (SELECT doc_id, j FROM nb JOIN gone USING (doc_id, i)), kp AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY j) AS t FROM ln WHERE (doc_id, j) NOT IN (SELECT doc_id, j FROM dr) GROUP BY 1)
 SELECT doc_id, (SELECT count(*) FROM nb WHERE nb.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM dr WHERE dr.doc_id = d.doc_id) AS n_removed, CASE WHEN text IS NULL THEN NULL ELSE coalesce(t, '') END AS text FROM documents d LEFT JOIN kp USING (doc_id)""",
     "op9_decontamination": r"""WITH du AS MATERIALIZED (SELECT doc_id, regexp_extract_all(ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS u FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ascii FROM documents)),

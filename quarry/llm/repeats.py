@@ -1,15 +1,14 @@
 """Earlier-occurrence search: which runs of consecutive units (words, lines), of one of some widths, also start earlier.
 
-One pass hashes every window of every text. A window travels as 8 bytes of hash and about two of position, packed in
+A window travels as 8 bytes of hash and about two of position, packed in
 one binary row per chunk of texts and bucket, so the shuffle moves arrays, not one row per window. Inside a chunk only the
 earliest of equal windows travels (pre-aggregation): a passage shared by a third of all texts reaches its bucket once
-per chunk. The bucket comes from a second hash of the window, so that the bits that tell windows apart grow with the
-number of buckets, that is with the data (64 bits and log2 of the buckets). Verdicts go back to the chunk as position gaps.
+per chunk. The bucket comes from a second, independent hash of the window's units, so that the bits that tell windows apart grow with the
+number of buckets, which follows the size of the input (64 bits and log2 of the buckets). Verdicts go back to the chunk as position gaps.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,35 +17,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import parallelism
+from quarry.llm.frames import Tables, parallelism
 
-_PACKED = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
+PACKED = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
 _REPLY = "chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
 _SPANS = "_id long, _row long, spans binary"
 #: Order of null ids: after all others.
 NULL_ID = (1 << 63) - 1
-#: Plan nodes after which rows may arrive in another order when they are computed again.
-_MOVED = re.compile(r"\b(?:Exchange|Join|Aggregate|Repartition\w*|RebalancePartitions|Window|Sort|Distinct|Deduplicate|Intersect|Except|GlobalLimit|Union)\b")
-#: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 4
+#: Buckets for each shuffle partition at least, so that each gets some, and units (words, lines) for each bucket at most: what one task holds.
+BUCKETS_PER_PARTITION, BUCKET_UNITS = 4, 12_000_000
+#: Bytes of text that make a word, at least: for the number of buckets before words are cut.
+_WORD_BYTES = 5
 
 #: From a batch's bytes and offsets: units, hash of each window, its place (rising), hash that chooses the bucket. With m
 #: widths, the place of a window of the k-th width that begins at unit u is m * u + k, which for one width is u.
 Windows = Callable[[np.ndarray, np.ndarray], tuple[T.Units, np.ndarray, np.ndarray, np.ndarray]]
 
 
+def buckets_for(spark, units: int) -> int:
+    return max(BUCKETS_PER_PARTITION * parallelism(spark), -(-units // BUCKET_UNITS))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns _id, _text and _row, a hash of both that tells rows apart whose ids repeat.
 
     Chunks are named by their rows, so a task that runs again after an executor is lost must see its rows in the same
-    order. Scans give that; what comes out of an exchange is sorted within its partitions.
+    order: they are sorted within their partitions.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_row"))
-    plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    return rows.sortWithinPartitions("_id", "_row") if _MOVED.search(plan) else rows
+    return rows.sortWithinPartitions("_id", "_row")
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
+def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     column = batch.column("_id")
     return np.asarray(column.fill_null(NULL_ID) if column.null_count else column, np.int64)
 
@@ -67,38 +69,44 @@ def first_of_equal(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tup
     return shared[(d != d[lead]) | (p != p[lead])], shared
 
 
+def chunk_name(rows: np.ndarray) -> int:
+    """An xor-fold of the rows and their places: the same texts in the same order give the same name."""
+    return int(T.mix(np.bitwise_xor.reduce(T.mix(rows.view(np.uint64) + np.arange(len(rows), dtype=np.uint64)))[None]).view(np.int64)[0])
+
+
+def packed(name: int, ids: np.ndarray, rows: np.ndarray, count: np.ndarray, keys: np.ndarray, at: np.ndarray, deal: np.ndarray, buckets: int, m: int) -> pa.RecordBatch:
+    """A chunk's windows as one row for each bucket, and one row that describes the chunk. count: units of each text; at: places (see Windows)."""
+    unit_base = np.concatenate([[0], np.cumsum(count)])
+    row = np.searchsorted(unit_base, at // m, side="right") - 1
+    base = unit_base * m
+    place = at - base[row]
+    gone, _ = first_of_equal(keys, ids[row], place)
+    sent = np.ones(len(keys), bool)
+    sent[gone] = False
+    sent = np.flatnonzero(sent)
+    bucket = (deal[sent] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    sent, bucket = sent[order], bucket[order]
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    out: list[tuple] = []
+    for a, b in zip(begin, [*begin[1:], len(bucket)], strict=True):
+        own = sent[a:b]
+        r = row[own]
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        used = r[first]
+        out.append((int(bucket[a]), name, 0, keys[own].tobytes(), T.deltas(at[own], np.uint32), T.planes(np.diff(first, append=len(r)).astype(np.uint32)), T.deltas(ids[used], np.int64), T.deltas(base[used], np.uint32)))
+    gone.sort()
+    out.append((name % buckets, name, 1, T.deltas(ids, np.int64), rows.tobytes(), T.planes(count.astype(np.uint32)), T.deltas(at[gone], np.uint32), b""))
+    return _rows(out, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5), ("bucket", "chunk", "kind", "a", "b", "c", "d", "e"))
+
+
 def _pack(find: Windows, buckets: int, m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.chunks(batches, "_text"):
-            data, offsets = T.utf8(batch.column("_text"))
-            ids, rows = _ids(batch), np.asarray(batch.column("_row"), np.int64)
-            units, keys, at, deal = find(data, offsets)
-            if not len(keys):
-                continue
-            # xor-fold of the rows and their places: the same texts in the same order give the same name
-            name = int(T.mix(np.bitwise_xor.reduce(T.mix(rows.view(np.uint64) + np.arange(len(rows), dtype=np.uint64)))[None]).view(np.int64)[0])
-            row = units.row[at // m]
-            base = units.base * m
-            place = at - base[row]
-            gone, _ = first_of_equal(keys, ids[row], place)
-            sent = np.ones(len(keys), bool)
-            sent[gone] = False
-            sent = np.flatnonzero(sent)
-            bucket = (deal[sent] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[order], bucket[order]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            out: list[tuple] = []
-            for k in np.flatnonzero(np.diff(edge)):
-                own = sent[edge[k] : edge[k + 1]]
-                r = row[own]
-                begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                used = r[begin]
-                out.append((int(k), name, 0, keys[own].tobytes(), T.deltas(at[own], np.uint32), T.planes(np.diff(begin, append=len(r)).astype(np.uint32)), T.deltas(ids[used], np.int64), T.deltas(base[used], np.uint32)))
-            gone.sort()
-            gone = at[gone]
-            out.append((name % buckets, name, 1, T.deltas(ids, np.int64), rows.tobytes(), T.planes(units.count.astype(np.uint32)), T.deltas(gone, np.uint32), b""))
-            yield _rows(out, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5), ("bucket", "chunk", "kind", "a", "b", "c", "d", "e"))
+            rows = np.asarray(batch.column("_row"), np.int64)
+            units, keys, at, deal = find(*T.utf8(batch.column("_text")))
+            if len(keys):
+                yield packed(chunk_name(rows), ids_of(batch), rows, units.count, keys, at, deal, buckets, m)
 
     return pack
 
@@ -164,16 +172,20 @@ def _assemble(widths: tuple[int, ...]) -> Callable[[pa.Table], pa.Table]:
     return assemble
 
 
-def earlier_spans(rows: DataFrame, find: Windows, *widths: int) -> DataFrame:
-    """For rows of keyed(): _id, _row and spans, the covered units as int32 pairs (begin, end); texts without any are left out."""
-    buckets = BUCKETS_PER_PARTITION * parallelism(rows.sparkSession)
-    packed = rows.mapInArrow(_pack(find, buckets, len(widths)), _PACKED)
-    replies = packed.groupBy("bucket").applyInArrow(_judge, _REPLY)
-    return replies.groupBy("chunk").applyInArrow(_assemble(widths), _SPANS)
+def judged(windows: DataFrame, widths: tuple[int, ...], tables: Tables) -> DataFrame:
+    """From rows of packed(): _id, _row and spans, the covered units as int32 pairs (begin, end); texts without any are left out."""
+    replies = windows.groupBy("bucket").applyInArrow(_judge, _REPLY)
+    return tables.write(replies.groupBy("chunk").applyInArrow(_assemble(widths), _SPANS))
+
+
+def earlier_spans(rows: DataFrame, find: Windows, width: int, tables: Tables) -> DataFrame:
+    """The spans of judged() for rows of keyed(), of all windows of one width."""
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    windows = rows.mapInArrow(_pack(find, buckets_for(rows.sparkSession, size // _WORD_BYTES), 1), PACKED)
+    return judged(windows, (width,), tables)
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Each row of keyed() once, with its spans or null. Repeated rows have equal spans, so one of them serves all."""
     one = spans.groupBy(F.col("_row").alias("_key"), F.col("_id").alias("_owner")).agg(F.first("spans").alias("spans"))
-    return rows.join(one.hint("shuffle_hash"), (F.col("_row") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_owner")), "left").select("_id", "_text", "spans")
-
+    return rows.join(one, (F.col("_row") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_owner")), "left").select("_id", "_text", "spans")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm import textops as T
+from quarry.llm.frames import Tables
 from quarry.llm.repeats import earlier_spans, keyed, with_spans
 
 WINDOW = 20
@@ -18,8 +19,9 @@ WINDOW = 20
 def _word_windows(width: int):
     def find(data: np.ndarray, offsets: np.ndarray):
         words = T.Units(data, offsets, T.SPACE_WORDS)
-        keys, at = T.windows(words.hashes(), words.base, width)
-        return words, keys, at, T.salted(keys, 1)
+        hashes = words.hashes()
+        keys, at = T.windows(hashes, words.base, width)
+        return words, keys, at, T.windows(T.salted(hashes, 1), words.base, width)[0]
 
     return find
 
@@ -32,7 +34,8 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     judged on the input. Texts of fewer words, null and empty texts have no window. Null ids come after all
     others; rows whose id repeats count as one place: equal windows at an equal place remove nothing from each other.
     """
-    return earlier_spans(keyed(docs, id_col, text_col), _word_windows(window), window)
+    with Tables(docs.sparkSession) as tables:
+        return tables.keep(earlier_spans(keyed(docs, id_col, text_col), _word_windows(window), window, tables))
 
 
 def _kept(with_text: bool):
@@ -68,6 +71,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     See removal_spans for what goes. Null and empty texts give 0 words and the digest of nothing; an empty table gives none.
     Other columns of the input are neither read nor returned.
     """
-    rows = keyed(docs, id_col, text_col)
-    spans = earlier_spans(rows, _word_windows(window), window)
-    return with_spans(rows, spans).mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    spans = removal_spans(docs, window, id_col, text_col)
+    return with_spans(keyed(docs, id_col, text_col), spans).mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)

@@ -54,10 +54,10 @@ def test_lines(docs, rows):
             if not drop:
                 left.append(line)
         want.append((i, len(u), sum(gone), None if t is None else "\n".join(left)))
-    got = [tuple(r) for r in dedup_lines(docs).collect()]
+    got = [tuple(r) for r in dedup_lines(docs, words=None).collect()]
     assert order(got) == order(want)
     assert sum(w[2] for w in want) > 50
-    whole = without_repeated_lines(docs)
+    whole = without_repeated_lines(docs, words=None)
     assert whole.columns == docs.columns
     assert order((r.doc_id, r.text) for r in whole.collect()) == order((i, t) for i, *_, t in want)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) and r.spans == 7 for r in whole.collect())
@@ -81,9 +81,9 @@ def test_short_runs_of_many_words(spark):
                 if first[tuple(u[s : s + n])] < (i, s) and (n == 3 or len(" ".join(u[s : s + n]).split()) >= 20):
                     want[i].update(range(s, s + n))
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
-    got = {r.doc_id: r for r in dedup_lines(docs, words=20).collect()}
+    got = {r.doc_id: r for r in dedup_lines(docs).collect()}
     assert [got[i].n_removed for i in range(len(texts))] == [len(w) for w in want] == [0, 0, 1, 0, 0, 0, 2, 0, 2, 1, 3]
     assert got[2].text == "x\ny" and got[6].text == "r\n" and got[8].text == "q"
     kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert kept == {i: r.text for i, r in got.items()}
-    assert [r.n_removed for r in dedup_lines(docs).orderBy("doc_id").collect()] == [0] * 10 + [3]
+    assert [r.n_removed for r in dedup_lines(docs, words=None).orderBy("doc_id").collect()] == [0] * 10 + [3]
