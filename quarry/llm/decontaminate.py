@@ -1,11 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is split by documents: each chunk of training texts is a segment that holds, for the benchmark's terms, the sorted
-positions of each term (other terms can't be part of a match). A window of benchmark words is looked up by intersecting
-position lists, each moved back by the term's offset, from the segment's rarest term to its most frequent one. All
-windows are intersected together, step by step, so that a step is a few array operations. Nothing is shuffled.
-The benchmark's windows are broadcast in blocks of about BLOCK_WINDOWS windows; a larger benchmark takes one pass over the
-texts for each block, and the blocks' hits are joined for each text.
+The training texts are indexed once: a table in the shared folder holds a segment for each chunk of texts, with its terms in order and, for each
+term, the rising positions of its tokens. Segments are rows, so the index is dealt out by texts and a phrase never needs another
+one. The benchmark's windows are broadcast a block of bounded size at a time, and each block searches the stored index, never
+the texts: for each window the list of its rarest term, moved back by the term's place, is intersected with the moved lists of the
+others, from rare to frequent. All windows are intersected together, step by step, so that a step is a few array operations. The driver
+holds one block; with several, their hits are written down one after another and joined for each text.
 """
 
 from __future__ import annotations
@@ -14,197 +14,181 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import fresh
+from quarry.llm.frames import Tables, fresh
+from quarry.llm.repeats import NULL_ID, ids_of
 
 WINDOW = 13
 #: A text is contaminated if at least one in so many of its words is hit.
 SHARE = 20
-#: Windows broadcast at once: 13 term numbers and an item number each, some 15 MB at most.
+#: Words that may stand between those of a window, all in all, in a proximity match.
+SLACK = 3
+#: Windows broadcast at once: 13 term hashes and an item number each, some 30 MB at most.
 BLOCK_WINDOWS = 250_000
+#: Windows in one piece of an item, so that an item of any length spreads over blocks.
+_PIECE_WINDOWS = 4_096
+#: Bytes of text in a segment; a longer single text is a segment by itself.
+_SEGMENT_BYTES = 2 << 20
 #: Candidate places held at once while lists are intersected.
-_CANDIDATES = 1 << 20
+_CANDIDATES = 1 << 19
+_NONE = np.iinfo(np.int64).max
+_INDEX = "segment long, ids binary, rows binary, count binary, terms binary, frequency binary, positions binary"
+_FOUND = "segment long, place int, spans binary, items array<string>, near array<string>"
+
+
+def _pieces(width: int):
+    """The word hashes of each item, long items in pieces that overlap by width - 1 words, so that each window is in one piece."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.chunks(batches, "_text"):
+            words = T.Units(*T.utf8(batch.column("_text")), T.ALNUM_WORDS)
+            hashes, items, held = words.hashes(T.LOWER), batch.column("_item").to_pylist(), []
+            for k, item in enumerate(items):
+                own = hashes[words.base[k] : words.base[k + 1]]
+                held += [(item, own[s : s + _PIECE_WINDOWS + width - 1].tobytes()) for s in range(0, max(1, len(own) - width + 1), _PIECE_WINDOWS) if len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.string()), pa.array([x[1] for x in held], pa.binary())], ["item", "hashes"])
+
+    return pieces
 
 
 class Windows:
-    """Windows of benchmark words as rows of term numbers (-1 pads short ones), the items they belong to and the terms' hashes."""
-
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
-        names = [i for i, _ in items]
-        data, offsets = T.utf8(pa.array([t for _, t in items], pa.string()))
-        words = T.Units(data, offsets, T.ALNUM_WORDS)
-        hashes = words.hashes(T.LOWER)
-        self.terms, number = np.unique(hashes, return_inverse=True)
-        rows, owner = [], []
-        for k in range(len(items)):
-            a, b = int(words.base[k]), int(words.base[k + 1])
-            size = min(width, b - a)
-            for s in range(a, b - size + 1 if size else a):
-                rows.append(np.concatenate([number[s : s + size], np.full(width - size, -1)]))
-                owner.append(k)
-        held = np.array(rows, np.int32).reshape(-1, width)
-        self.rows, group = np.unique(held, axis=0, return_inverse=True)
-        group = group.reshape(-1)
+    """Distinct windows of benchmark words as rows of term numbers (-1 pads short ones), the items they belong to and the terms' hashes."""
+
+    def __init__(self, pieces: list[tuple[str, np.ndarray]], width: int):
+        self.names = sorted({i for i, _ in pieces})
+        number = {x: k for k, x in enumerate(self.names)}
+        self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in pieces)]))
+        rows, owner = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
+        for item, hashes in pieces:
+            terms = np.searchsorted(self.terms, hashes).astype(np.int32)
+            held = np.lib.stride_tricks.sliding_window_view(terms, width) if len(terms) >= width else np.pad(terms, (0, width - len(terms)), constant_values=-1)[None, :]
+            rows.append(held)
+            owner.append(np.full(len(held), number[item]))
+        self.rows, group = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
         # items of each distinct window, as a list of lists in one array
-        pairs = np.unique(np.stack([group, np.array(owner, np.int64)], 1), axis=0) if len(group) else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.stack([group.reshape(-1), np.concatenate(owner)], 1), axis=0)
         self.items = pairs[:, 1]
         self.items_at = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
-        self.names = names
         self.size = (self.rows >= 0).sum(1)
 
 
-class Segment:
-    """The positional index of one chunk: positions of each benchmark term, and the term at each position."""
-
-    def __init__(self, term: np.ndarray, n_terms: int):
-        self.term = term
-        held = np.flatnonzero(term >= 0)
-        order = np.argsort(term[held], kind="stable")
-        self.places = held[order]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term[held], minlength=n_terms))])
-        self.frequency = np.diff(self.begin)
-
-    def phrases(self, windows: Windows, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All exact occurrences: window numbers and first positions. row_end: for each position, the end of its text."""
-        if not len(windows.rows) or not len(self.places):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rows = windows.rows
-        count = np.where(rows >= 0, self.frequency[rows], np.iinfo(np.int64).max)
-        live = np.flatnonzero(count.min(1) > 0)
-        by_rarity = np.argsort(count[live], axis=1, kind="stable")
-        rarest = rows[live, by_rarity[:, 0]]
-        load = self.frequency[rarest]
-        found_w, found_p = [], []
-        at = 0
-        edges = np.cumsum(load)
-        while at < len(live):
-            to = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + _CANDIDATES, side="right")))
-            own = np.arange(at, to)
-            which = np.repeat(own, load[own])
-            step = np.arange(len(which)) - np.repeat(np.cumsum(load[own]) - load[own], load[own])
-            first = self.places[self.begin[rarest[which]] + step] - by_rarity[which, 0]
-            size = windows.size[live[which]]
-            ok = first >= 0
-            which, first, size = which[ok], first[ok], size[ok]
-            # a match may not run over the end of the text it begins in
-            ok = first + size <= row_end[first]
-            which, first = which[ok], first[ok]
-            for k in range(1, rows.shape[1]):
-                offset = by_rarity[which, k]
-                wanted = rows[live[which], offset]
-                ok = (wanted < 0) | (self.term[np.minimum(first + offset, len(self.term) - 1)] == wanted)
-                which, first = which[ok], first[ok]
-            found_w.append(live[which])
-            found_p.append(first)
-            at = to
-        return (np.concatenate(found_w), np.concatenate(found_p)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def near(self, windows: Windows, row_end: np.ndarray, terms: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
-        """Proximity matches: windows whose `terms` rarest terms all lie within `slack` words of where the rarest one would put them."""
-        rows = windows.rows
-        if not len(rows) or not len(self.places):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        count = np.where(rows >= 0, self.frequency[rows], np.iinfo(np.int64).max)
-        live = np.flatnonzero((count.min(1) > 0) & (windows.size >= terms))
-        by_rarity = np.argsort(count[live], axis=1, kind="stable")
-        rarest = rows[live, by_rarity[:, 0]]
-        load = self.frequency[rarest]
-        edges, at, found_w, found_p = np.cumsum(load), 0, [], []
-        while at < len(live):
-            to = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + _CANDIDATES, side="right")))
-            own = np.arange(at, to)
-            which = np.repeat(own, load[own])
-            step = np.arange(len(which)) - np.repeat(np.cumsum(load[own]) - load[own], load[own])
-            seat = self.places[self.begin[rarest[which]] + step]
-            for k in range(1, terms):
-                wanted = rows[live[which], by_rarity[which, k]]
-                ideal = seat + by_rarity[which, k] - by_rarity[which, 0]
-                hit = np.zeros(len(which), bool)
-                for d in range(-slack, slack + 1):
-                    p = np.clip(ideal + d, 0, len(self.term) - 1)
-                    hit |= (self.term[p] == wanted) & (row_end[p] == row_end[seat])
-                which, seat = which[hit], seat[hit]
-            found_w.append(live[which])
-            found_p.append(seat)
-            at = to
-        return (np.concatenate(found_w), np.concatenate(found_p)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-class _Found:
-    """What one block of windows hits in a batch's texts."""
-
-    def __init__(self, windows: Windows, text: pa.Array):
-        data, offsets = T.utf8(text)
-        self.windows, self.words = windows, T.Units(data, offsets, T.ALNUM_WORDS)
-        words = self.words
-        hashes = words.hashes(T.LOWER)
-        term = np.full(len(hashes), -1, np.int32)
-        if len(windows.terms) and len(hashes):
-            place = np.minimum(np.searchsorted(windows.terms, hashes), len(windows.terms) - 1)
-            term = np.where(windows.terms[place] == hashes, place, -1).astype(np.int32)
-        self.segment = Segment(term, len(windows.terms))
-        self.row_end = words.base[1:][words.row] if len(words) else np.zeros(0, np.int64)
-        self.window, self.first = self.segment.phrases(windows, self.row_end)
-        depth = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(depth, self.first, 1)
-        np.add.at(depth, self.first + windows.size[self.window], -1)
-        self.hit = np.cumsum(depth[:-1]) > 0
-        self.n_hit = np.bincount(words.row[self.hit], minlength=words.rows)
-
-    def items(self) -> list[np.ndarray]:
-        return _items(self.windows, self.window, self.words.row[self.first], self.words.rows)
-
-    def near(self, terms: int, slack: int) -> list[np.ndarray]:
-        found, seat = self.segment.near(self.windows, self.row_end, terms, slack)
-        return _items(self.windows, found, self.words.row[seat], self.words.rows)
-
-
-def _search(shared, near_terms: int, near_slack: int, with_spans: bool = False):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = shared.value
-        names = np.array(windows.names, object)
-        for batch in T.chunks(batches, "_text"):
-            found = _Found(windows, batch.column("_text"))
-            own = found.items()
-            columns = [batch.column("_id"), pa.array(found.words.count, pa.int64()), pa.array(found.n_hit, pa.int64()), pa.array([sorted(set(names[x].tolist())) for x in own], pa.list_(pa.string()))]
-            if near_terms:
-                near = found.near(near_terms, near_slack)
-                columns.append(pa.array([sorted(set(names[np.union1d(a, b)].tolist())) for a, b in zip(own, near, strict=True)], pa.list_(pa.string())))
-            else:
-                columns.append(pa.nulls(batch.num_rows, pa.list_(pa.string())))
-            if with_spans:
-                columns += [batch.column("_row"), pa.array(_hit_spans(found.hit, found.words), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "near", "_row", "spans"][: len(columns)])
-
-    return search
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int) -> Iterator[Windows]:
+    """The benchmark's windows in blocks of bounded size, read a partition at a time."""
+    named = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(text_col).cast("string").alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL")
+    held, size = [], 0
+    for r in named.mapInArrow(_pieces(width), "item string, hashes binary").toLocalIterator():
+        held.append((r["item"], np.frombuffer(r["hashes"], np.uint64)))
+        size += len(held[-1][1])
+        if size >= limit:
+            yield Windows(held, width)
+            held, size = [], 0
+    if held:
+        yield Windows(held, width)
 
 
-def _clean(shared, text_col: str):
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.chunks(batches, text_col):
-            found = _Found(shared.value, batch.column(text_col))
-            yield batch.filter(pa.array((found.n_hit == 0) | (SHARE * found.n_hit < found.words.count)))
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One segment for each chunk of texts. Positions count the chunk's words through; `count` tells the texts apart."""
+    for batch in T.chunks(batches, "_text", _SEGMENT_BYTES):
+        words = T.Units(*T.utf8(batch.column("_text")), T.ALNUM_WORDS)
+        terms, number, frequency = np.unique(words.hashes(T.LOWER), return_inverse=True, return_counts=True)
+        positions = np.argsort(number, kind="stable").astype(np.uint32)
+        rows = np.asarray(batch.column("_row"), np.int64)
+        name = int(T.mix(np.bitwise_xor.reduce(T.mix(rows.view(np.uint64) + np.arange(len(rows), dtype=np.uint64)))[None]).view(np.int64)[0])
+        out = (name, T.deltas(ids_of(batch), np.int64), rows.tobytes(), T.planes(words.count.astype(np.uint32)), terms.tobytes(), T.planes(frequency.astype(np.uint32)), T.deltas(positions.astype(np.int64), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, (pa.int64(), *[pa.binary()] * 6), strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
 
-    return clean
 
+def positional_index(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index of all words of all texts: one row for each segment."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), _row_key(id_col, text_col).alias("_row"))
+    # read back as packed rows, so each partition's segments must have names of their own
+    return tables.write(rows.mapInArrow(_indexed, _INDEX).withColumn("segment", F.xxhash64("segment", F.spark_partition_id(), F.monotonically_increasing_id())))
 
-def _hit_spans(hit: np.ndarray, words: T.Units) -> list[bytes]:
-    """Each row's hit words as int32 numbers."""
-    at = np.flatnonzero(hit)
-    row = words.row[at]
-    edge = np.searchsorted(row, np.arange(words.rows + 1))
-    own = (at - words.base[row]).astype(np.int32)
-    return [own[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
+class Segment:
+    """A stored segment: the sorted places of each term as (term number, position) in one sorted array."""
+
+    def __init__(self, row: dict):
+        self.ids, self.rows = T.undeltas(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64)
+        self.count = T.unplanes(row["count"], np.uint32).astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.count)])
+        self.terms = np.frombuffer(row["terms"], np.uint64)
+        self.frequency = T.unplanes(row["frequency"], np.uint32).astype(np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.frequency)])
+        self.positions = np.cumsum(T.unplanes(row["positions"], np.int32).astype(np.int64))
+        self.postings = (np.repeat(np.arange(len(self.terms)), self.frequency) << 32) | self.positions
+
+    def numbers(self, windows: Windows) -> np.ndarray:
+        """The windows with this segment's term numbers; -1 pads, -2 stands for terms that it hasn't."""
+        if not len(self.terms) or not len(windows.terms):
+            return np.full(windows.rows.shape, -2)
+        at = np.minimum(np.searchsorted(self.terms, windows.terms), len(self.terms) - 1)
+        known = np.where(self.terms[at] == windows.terms, at, -2)
+        return np.where(windows.rows >= 0, known[windows.rows], -1)
+
+    def candidates(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows all of whose terms are here, with their places by rarity and each position of the rarest one, some at a time."""
+        load = np.where(numbers >= 0, self.frequency[np.maximum(numbers, 0)] if len(self.terms) else 0, _NONE)
+        live = np.flatnonzero((numbers != -2).all(1))
+        by_rarity = np.argsort(load[live], axis=1, kind="stable")
+        rarest = numbers[live, by_rarity[:, 0]] if len(live) else live
+        edges, at = np.cumsum(self.frequency[rarest]) if len(live) else live, 0
+        while at < len(live):
+            to = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + _CANDIDATES, side="right")))
+            own = np.arange(at, to)
+            n = self.frequency[rarest[own]]
+            which = np.repeat(own, n)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            yield live[which], by_rarity[which], self.positions[self.begin[rarest[which]] + step], which
+            at = to
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n_hit of rows whose hits several blocks have found."""
-    for batch in batches:
-        n = [len(np.unique(np.frombuffer(b"".join(x), np.int32))) for x in batch.column("spans").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n, pa.int64()), batch.column("items"), batch.column("near"), batch.column("_row")], ["doc_id", "n_words", "n_hit", "items", "near", "_row"])
+    def following(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """The first position of each term at or after the given one; _NONE if there is none."""
+        at = np.searchsorted(self.postings, (term << 32) | np.maximum(position, 0))
+        held = self.postings[np.minimum(at, len(self.postings) - 1)]
+        return np.where((at < len(self.postings)) & (held >> 32 == term), held & 0xFFFFFFFF, _NONE)
+
+    def phrases(self, numbers: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All exact occurrences: windows and first positions."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for window, order, seat, _ in self.candidates(numbers):
+            first = seat - order[:, 0]
+            ok = first >= 0
+            window, order, first = window[ok], order[ok], first[ok]
+            for k in range(1, numbers.shape[1]):
+                term = numbers[window, order[:, k]]
+                place = first + order[:, k]
+                ok = (term < 0) | (self.following(np.maximum(term, 0), place) == place)
+                window, order, first = window[ok], order[ok], first[ok]
+            # a match may not run over the end of the text it begins in
+            ok = first + size[window] <= self.base[np.searchsorted(self.base, first, side="right")]
+            found.append((window[ok], first[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def near(self, numbers: np.ndarray, size: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """Proximity matches: windows all of whose terms stand, in any order, within their number of words and `slack` more of one text; with a position of the rarest."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for window, order, seat, _ in self.candidates(numbers):
+            end = self.base[np.searchsorted(self.base, seat, side="right")]
+            start = self.base[np.searchsorted(self.base, seat, side="right") - 1]
+            for k in range(1, numbers.shape[1]):  # each term lies somewhere around the rarest one, rare ones first
+                term, reach = numbers[window, order[:, k]], size[window] + slack
+                after = self.following(np.maximum(term, 0), np.maximum(seat - reach + 1, start))
+                ok = (term < 0) | (after < np.minimum(seat + reach, end))
+                window, order, seat, start, end = (x[ok] for x in (window, order, seat, start, end))
+            hit = np.zeros(len(window), bool)
+            for back in range(int(size.max(initial=0)) + slack):  # and all of them within one stretch that holds it
+                left = np.flatnonzero(~hit & (back < size[window] + slack) & (seat - back >= start))
+                for k in range(1, numbers.shape[1]):
+                    term, first = numbers[window[left], order[left, k]], seat[left] - back
+                    after = self.following(np.maximum(term, 0), first)
+                    left = left[(term < 0) | (after < np.minimum(first + size[window[left]] + slack, end[left]))]
+                hit[left] = True
+            found.append((window[hit], seat[hit]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _items(windows: Windows, found: np.ndarray, row: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -217,64 +201,99 @@ def _items(windows: Windows, found: np.ndarray, row: np.ndarray, rows: int) -> l
     return [pairs[a:b, 1] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of bounded size, read row by row, a partition at a time."""
-    held, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
-        held.append((r.i, r.t))
-        size += max(1, len(r.t) // 4)
-        if size >= limit:
-            yield Windows(held, width)
-            held, size = [], 0
-    if held:
-        yield Windows(held, width)
+def _search(shared, slack: int | None):
+    """For each text that a block hits: the words hit as int32 numbers, the items of exact matches, and those of proximity or exact matches."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: Windows = shared.value
+        names = np.array(windows.names, object)
+        listed = lambda x: names[x].tolist()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                s = Segment(row)
+                numbers = s.numbers(windows)
+                window, first = s.phrases(numbers, windows.size)
+                owner = lambda x: np.searchsorted(s.base, x, side="right") - 1  # noqa: B023, E731
+                own = _items(windows, window, owner(first), len(s.count))
+                near = own
+                if slack is not None:
+                    found, seat = s.near(numbers, windows.size, slack)
+                    near = [np.union1d(a, b) for a, b in zip(own, _items(windows, found, owner(seat), len(s.count)), strict=True)]
+                depth = np.zeros(s.base[-1] + 1, np.int64)
+                np.add.at(depth, first, 1)
+                np.add.at(depth, first + windows.size[window], -1)
+                at = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+                edge = np.searchsorted(at, s.base)
+                on = [i for i in range(len(s.count)) if len(own[i]) or len(near[i])]
+                out = [(row["segment"], i, (at[edge[i] : edge[i + 1]] - s.base[i]).astype(np.int32).tobytes(), listed(own[i]), listed(near[i])) for i in on]
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], [x.split()[0] for x in _FOUND.split(", ")])
+
+    return search
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each segment."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            (row,) = batch.slice(k, 1).to_pylist()
+            ids, rows, n = T.undeltas(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64), T.unplanes(row["count"], np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["segment"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, mask=ids == NULL_ID), pa.array(rows), pa.array(n)], ["segment", "place", "doc_id", "_row", "n_words"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_hit: the distinct words that one block or another has hit."""
+    for batch in batches:
+        n = [len(np.unique(np.frombuffer(b"".join(x), np.int32))) for x in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("segment", "place")), pa.array(n, pa.int64()), *(batch.column(x) for x in ("items", "near"))], ["segment", "place", "n_hit", "items", "near"])
 
 
 _CONTAMINATED = f"n_hit > 0 AND {SHARE} * n_hit >= n_words"
 
 
-def _row_key(id_col: str, text_col: str):
+def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def _hits(docs: DataFrame, blocks: list[Windows], id_col: str, text_col: str, near_terms: int = 0, near_slack: int = 0) -> DataFrame:
-    """doc_id, n_words, n_hit, items, near of each row; with several blocks also _row, a hash of id and text."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, slack: int | None, block_windows: int) -> DataFrame:
+    """doc_id, _row (a hash of id and text), n_words, n_hit, items, near of each row; lies in the shared folder."""
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), _row_key(id_col, text_col).alias("_row"))
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, near array<string>"
-    if len(blocks) == 1:
-        return rows.mapInArrow(_search(context.broadcast(blocks[0]), near_terms, near_slack), schema)
-    wide = schema + ", _row long, spans binary"
-    parts = [rows.mapInArrow(_search(context.broadcast(w), near_terms, near_slack, True), wide).withColumn("part", F.lit(k)) for k, w in enumerate(blocks)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part.where("n_hit > 0 OR size(near) > 0"))
-    every = every.groupBy("_row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.sum((F.col("part") == 0).cast("int")).alias("copies"))
-    return every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items", "near", "_row").mapInArrow(_merged, schema + ", _row long")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", near_terms: int = 0, near_slack: int = 3, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside any benchmark window), n_items, items_sha256, contaminated.
+    with Tables(docs.sparkSession) as tables:
+        index = positional_index(docs, tables, id_col, text_col)
+        found = None
+        for windows in _blocks(benchmark, item_col, "text", window, block_windows):
+            shared = context.broadcast(windows)
+            part = tables.write(index.mapInArrow(_search(shared, slack), _FOUND))
+            shared.unpersist()
+            found = part if found is None else found.unionByName(part)
+        members = index.mapInArrow(_members, "segment long, place int, doc_id long, _row long, n_words long")
+        none = F.array().cast("array<string>")
+        if found is None:
+            return tables.keep(tables.write(members.select("doc_id", "_row", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("near"))))
+        at = ["segment", "place"]
+        every = found.groupBy(*at).agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        every = tables.write(every.mapInArrow(_counted, "segment long, place int, n_hit long, items array<string>, near array<string>"))
+        joined = members.join(every, at, "left").select("doc_id", "_row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
+        return tables.keep(tables.write(joined))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", slack: int = SLACK, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit (words inside any benchmark window), n_items, items_sha256, contaminated, n_near.
 
     A-Z are lower-cased; words are runs of digits, letters and non-ASCII characters. A window is `window` consecutive item
     words, or a whole shorter item; an item without words has none. contaminated: n_hit > 0 and 20 n_hit >= n_words.
-    near_terms > 0 adds n_near: items with an exact match or one whose `near_terms` rarest terms lie within `near_slack` words
-    of their places. Null texts have no words, items with null id or text no window; empty tables give no rows or no hits.
+    n_near: items with a window all of whose words stand, in any order, in some stretch of the text that is `slack` words longer than the window.
+    Null texts have no words, items with null id or text no window; empty tables give no rows or no hits.
     Repeated rows give a row each, an item id that repeats counts once; other columns aren't read.
     """
-    blocks = list(_blocks(benchmark, item_col, "text", window, block_windows)) or [Windows([], window)]
-    found = _hits(docs, blocks, id_col, text_col, near_terms, near_slack)
+    found = _hits(docs, benchmark, window, id_col, text_col, item_col, slack, block_windows)
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), F.expr(_CONTAMINATED).alias("contaminated"), *[F.size("near").cast("long").alias("n_near")][: bool(near_terms)])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), F.expr(_CONTAMINATED).alias("contaminated"), F.size("near").cast("long").alias("n_near"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows that contamination() doesn't find contaminated, with all their columns. With one block of windows nothing is shuffled."""
-    blocks = list(_blocks(benchmark, item_col, "text", window, block_windows))
-    if not blocks:
-        return docs
-    if len(blocks) == 1:
-        return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(blocks[0]), text_col), docs.schema)
+    """The rows that contamination() doesn't find contaminated, with all their columns."""
     own_id, own_row = fresh(docs, "_hit_id", "_hit_row")
-    found = _hits(docs, blocks, id_col, text_col).where(_CONTAMINATED).select(F.col("doc_id").alias(own_id), F.col("_row").alias(own_row))
+    found = _hits(docs, benchmark, window, id_col, text_col, item_col, None, block_windows).where(_CONTAMINATED).select(F.col("doc_id").alias(own_id), F.col("_row").alias(own_row)).distinct()
     return docs.join(found, (_row_key(id_col, text_col) == F.col(own_row)) & F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), "left_anti")

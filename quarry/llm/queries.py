@@ -106,6 +106,13 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i, array_to_string(u[i:i + n - 1], ' ') AS w FROM (SELECT doc_id, u, n, unnest(range(1, len(u) - n + 2)) AS i FROM du, sizes WHERE len(u) >= n)),
 ht AS MATERIALIZED (SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON bw.w = dw.w AND bw.n = dw.n),
 nh AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM ht) GROUP BY 1),
+wt AS MATERIALIZED (SELECT w, n, unnest(list_distinct(string_split(w, ' '))) AS t FROM (SELECT DISTINCT w, n FROM bw)),
+wk AS MATERIALIZED (SELECT w, n, count(*) AS k FROM wt GROUP BY 1, 2),
+wo AS MATERIALIZED (SELECT doc_id, unnest(u) AS t, generate_subscripts(u, 1) AS p FROM du),
+dt AS (SELECT DISTINCT doc_id, t FROM wo),
+cand AS MATERIALIZED (SELECT doc_id, w, n, k FROM dt JOIN wt USING (t) JOIN wk USING (w, n) GROUP BY 1, 2, 3, 4 HAVING count(*) = k),
+nr AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, w, k, count(DISTINCT t) OVER (PARTITION BY doc_id, w ORDER BY p RANGE BETWEEN CURRENT ROW AND n + 2 FOLLOWING) AS seen FROM cand JOIN wt USING (w, n) JOIN wo USING (doc_id, t)) WHERE seen = k),
+ni AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM nr JOIN bw USING (w) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM ht) GROUP BY 1)
-SELECT doc_id, len(u) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(u) AS contaminated FROM du LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)""",
+SELECT doc_id, len(u) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(u) AS contaminated, coalesce(n_near, 0) AS n_near FROM du LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ni USING (doc_id)""",
 }

@@ -37,7 +37,14 @@ def brute(rows, made):
                     hit[s : s + n] = [True] * n
                     found |= windows[tuple(w[s : s + n])]
         h = sum(hit)
-        out.append((i, len(w), h, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), h > 0 and 20 * h >= len(w)))
+        near = set()
+        for k, names in windows.items():
+            size, wanted = len(k) + 3, set(k)
+            for p in [p for p, x in enumerate(w) if x in wanted] if wanted <= set(w) else []:
+                if wanted <= set(w[p : p + size]):
+                    near |= names
+                    break
+        out.append((i, len(w), h, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), h > 0 and 20 * h >= len(w), len(near)))
     return out
 
 
@@ -54,9 +61,19 @@ def test_hits(docs, rows, items, block):
 
 def test_proximity(spark):
     item = " ".join(f"t{i}" for i in range(13))
-    docs = spark.createDataFrame([(1, "a b " + item), (2, "a b " + item.replace("t6", "t6 extra")), (3, "t0 t5")], "doc_id long, text string")
-    got = {r.doc_id: (r.n_items, r.n_near) for r in contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), near_terms=5).collect()}
-    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 0)}
+    docs = spark.createDataFrame([(1, "a b " + item), (2, "a b " + item.replace("t6", "t6 extra")), (3, "t0 t5"), (4, " ".join(reversed(item.split()))), (5, item.replace("t6", "t6 x x x x"))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_items, r.n_near) for r in contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), block_windows=100).collect()}
+    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 0), 4: (0, 1), 5: (0, 0)}
+
+
+def test_a_long_item_spreads_over_blocks(spark, monkeypatch):
+    from quarry.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "_PIECE_WINDOWS", 16)
+    item = [f"v{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(item[i : i + 13])) for i in range(88)] + [(200, " ".join(item)), (201, " ".join(item[:12]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in D.contamination(docs, spark.createDataFrame([("x", " ".join(item))], "item_id string, text string"), block_windows=30).collect()}
+    assert got == {i: (13, 1) for i in range(88)} | {200: (100, 1), 201: (0, 0)}
 
 
 def test_empty(docs, empty, items, spark):
