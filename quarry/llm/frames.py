@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: Links that one step of a local contraction holds in memory.
 _LINKS = 1 << 19
-#: Frees the shuffle files of a write as soon as it has ended; else they pile up until the driver collects its garbage.
-_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For writes: shuffle files are freed as soon as one has ended, else they pile up until the driver collects its garbage; and
+#: batches for Python hold little at once, as both the executor and its Python worker hold them.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,13 +54,16 @@ class Tables:
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.held)}-{uuid.uuid4().hex[:8]}"
-        before = self.spark.conf.get(_FREE_SHUFFLES, "false")
-        self.spark.conf.set(_FREE_SHUFFLES, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in _WRITING}
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         try:
             # small row groups: a row of packed arrays may be some MB, and a reader holds a group at a time
             df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
         finally:
-            self.spark.conf.set(_FREE_SHUFFLES, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held[id(out)] = (path, out)
         return out

@@ -109,7 +109,7 @@ def bag_minhash(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int,
 
 def _sign(width: int, bands: int, per_band: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.chunks(batches, "_text", T.CHUNK_BYTES // 2):
+        for batch in T.chunks(batches, "_text", T.CHUNK_BYTES // 4):
             data, offsets = T.utf8(batch.column("_text"))
             row, key, weight, count = shingles(data, offsets, width)
             names = []
@@ -140,7 +140,7 @@ def _compare(width: int, similarity: tuple[int, int]):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, keys, counts = None, None, None
-        for batch in T.chunks(batches, "_text"):
+        for batch in T.chunks(batches, "_text", T.CHUNK_BYTES // 4):
             data, offsets = T.utf8(batch.column("_text"))
             row, key, weight, _ = shingles(data, offsets, width)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
