@@ -37,6 +37,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
             if r["_size"] <= left:
                 taken.append(r["_id"])
                 left -= r["_size"]
-        own = docs.sparkSession.createDataFrame([(x,) for x in taken], "_own long")
-        held = sorted(met.join(F.broadcast(own), F.col("_id") == F.col("_own")).select("_id", "y", "_text").collect())
+        held = sorted(met.where(F.col("_id").isin(taken)).select("_id", "y", "_text").collect())
     return pa.array([r["_text"] for r in held], pa.large_string()), [int(r["y"] > 0) for r in held]

@@ -272,7 +272,8 @@ def _classified(texts: DataFrame, tables: Tables, width: int, similarity: tuple[
     cross = tables.write(again.mapInArrow(_promising(similarity), "a long, ar long, b long, br long").distinct().join(tested, ends, "left_anti"))
     tables.drop(members, mixed, stars)
     if not cross.isEmpty():
-        linked = components(links.union(verified(cross, texts, tables, width, similarity)), tables)
+        more = tables.write(verified(cross, texts, tables, width, similarity))
+        linked = components(links.union(more), tables)
     named = classes.select("k1", "k2", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     known = signed.select("id", "k1", "k2", ((F.col("words") > 0) & F.col("id").isNotNull()).alias("solid"))
     joined = known.where("solid").join(named, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "class_id")

@@ -7,6 +7,7 @@ object is made per word. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later tasks and would otherwise keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of whole rows with at most `limit` bytes of text (or one row)."""
     for batch in batches:
@@ -79,6 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             to = min(n, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[pa.RecordBatch]]:
@@ -98,6 +108,7 @@ def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
             last = tuple(key[a])
     if held:
         yield held
+    give_back()
 
 
 class Units:
