@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import Tables, fresh
+from quarry.llm.frames import Tables, fresh, merged
 from quarry.llm.repeats import NULL_ID, ids_of
 
 WINDOW = 13
@@ -296,4 +296,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     """The rows that contamination() doesn't find contaminated, with all their columns."""
     own_id, own_row = fresh(docs, "_hit_id", "_hit_row")
     found = _hits(docs, benchmark, window, id_col, text_col, item_col, None, block_windows).where(_CONTAMINATED).select(F.col("doc_id").alias(own_id), F.col("_row").alias(own_row)).distinct()
-    return docs.join(found, (_row_key(id_col, text_col) == F.col(own_row)) & F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), "left_anti")
+    return docs.join(merged(found), (_row_key(id_col, text_col) == F.col(own_row)) & F.col(id_col).cast("long").eqNullSafe(F.col(own_id)), "left_anti")

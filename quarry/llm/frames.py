@@ -80,6 +80,11 @@ class Tables:
         return table
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """For the smaller side of a join whose other side moves texts or many rows: a sort-merge join at every size, which can spill and be split at a hot key."""
+    return df.hint("merge")
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: how finely this cluster deals out a table."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import Tables, fresh
+from quarry.llm.frames import Tables, fresh, merged
 from quarry.llm.repeats import PACKED, buckets_for, chunk_name, ids_of, judged, keyed, packed, with_spans
 
 #: Shortest run of lines that counts as repeated.
@@ -209,5 +209,5 @@ def without_repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_i
     spans = repeated_spans(docs, run, id_col, text_col, words)
     one = spans.groupBy(F.col("_row").alias(own_row), F.col("_id").alias(own_id)).agg(F.first("spans").alias(held))
     named = F.col(id_col).cast("long")
-    met = docs.join(one, (F.xxhash64(named, F.col(text_col).cast("string")) == F.col(own_row)) & named.eqNullSafe(F.col(own_id)), "left")
+    met = docs.join(merged(one), (F.xxhash64(named, F.col(text_col).cast("string")) == F.col(own_row)) & named.eqNullSafe(F.col(own_id)), "left")
     return met.select(*docs.columns, held).mapInArrow(_edited(text_col, chars_col, held), docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import Tables, components, fresh, parallelism
+from quarry.llm.frames import Tables, components, fresh, merged, parallelism
 
 SHINGLE = 5
 #: 32 bands of 5: a pair of similarity 0.8 is missed with probability 3e-6.
@@ -41,7 +41,7 @@ _LEVELS = np.concatenate([np.arange(128), np.ceil(127 * 1.04 ** np.arange(1, 128
 BLOCK = 2048
 _SLICE = 256
 #: Texts compared with one representative in one part; a representative of more has several parts.
-PART_TEXTS = 2_000
+PART_TEXTS = 256
 #: Slots of the filter that spares texts without a candidate the shuffle: at most so many rows are broadcast.
 _SLOTS = 1 << 18
 
@@ -175,7 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, width: int = SH
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLOTS)).cast("int")
     needed = pairs.select(slot("a").alias("_slot")).union(pairs.select(slot("b"))).distinct()
     texts = texts.withColumn("_slot", slot("_id")).join(F.broadcast(needed), "_slot", "left_semi").drop("_slot")
-    met = texts.join(asked, (F.col("_id") == F.col("b")) & (F.col("_row") == F.col("br"))).select("a", "ar", "b", "br", "salt", "_text")
+    met = texts.join(merged(asked), (F.col("_id") == F.col("b")) & (F.col("_row") == F.col("br"))).select("a", "ar", "b", "br", "salt", "_text")
     n = parallelism(pairs.sparkSession)
     lead = (F.col("a") == F.col("b")) & (F.col("ar") == F.col("br"))
     ordered = met.repartition(n, "a", "ar", "salt").sortWithinPartitions("a", "ar", "salt", ~lead, "b")
@@ -247,10 +247,10 @@ def _classified(texts: DataFrame, tables: Tables, width: int, similarity: tuple[
     classes = tables.write(solid.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("first"), F.first("bands").alias("bands")).select("k1", "k2", F.col("first.id").alias("rep"), F.col("first.row").alias("row"), "bands"))
     banded = classes.select("rep", "row", F.posexplode("bands").alias(*spot))
     shared = tables.write(banded.groupBy(*spot).agg(F.count("*").alias("m")).where("m > 1"))
-    members = tables.write(banded.join(shared, spot))
+    members = tables.write(banded.join(merged(shared), spot))
     met = members.groupBy("rep", "row").agg(F.sum("m").alias("met"))
-    leads = tables.write(members.join(met, ["rep", "row"]).groupBy(*spot).agg(F.max_by(F.struct("rep", "row"), F.struct("met", -F.col("rep"))).alias("lead")))
-    stars = tables.write(members.join(leads, spot).select(F.col("lead.rep").alias("a"), F.col("lead.row").alias("ar"), F.col("rep").alias("b"), F.col("row").alias("br")).where("a <> b").distinct())
+    leads = tables.write(members.join(merged(met), ["rep", "row"]).groupBy(*spot).agg(F.max_by(F.struct("rep", "row"), F.struct("met", -F.col("rep"))).alias("lead")))
+    stars = tables.write(members.join(merged(leads), spot).select(F.col("lead.rep").alias("a"), F.col("lead.row").alias("ar"), F.col("rep").alias("b"), F.col("row").alias("br")).where("a <> b").distinct())
     tables.drop(shared, leads)
     # ids that repeat with different texts tie these texts' classes together
     repeated = signed.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
@@ -286,4 +286,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows that near_duplicates() keeps, with all their columns; rows with a null id all stay."""
     (name,) = fresh(docs, "_dropped_id")
     dropped = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(name))
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    return docs.join(merged(dropped), F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import Tables, parallelism
+from quarry.llm.frames import Tables, merged, parallelism
 
 PACKED = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
 _REPLY = "chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
@@ -188,4 +188,4 @@ def earlier_spans(rows: DataFrame, find: Windows, width: int, tables: Tables) ->
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Each row of keyed() once, with its spans or null. Repeated rows have equal spans, so one of them serves all."""
     one = spans.groupBy(F.col("_row").alias("_key"), F.col("_id").alias("_owner")).agg(F.first("spans").alias("spans"))
-    return rows.join(one, (F.col("_row") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_owner")), "left").select("_id", "_text", "spans")
+    return rows.join(merged(one), (F.col("_row") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_owner")), "left").select("_id", "_text", "spans")

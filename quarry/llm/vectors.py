@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textops as T
-from quarry.llm.frames import Tables, components, least_labels, parallelism
+from quarry.llm.frames import Tables, components, least_labels, merged, parallelism
 
 THRESHOLD = 0.9
 #: Probability that a pair just at the threshold is missed.
@@ -169,9 +169,9 @@ def _linked(vectors: DataFrame, tables: Tables, threshold: float, miss: float, b
     k, count = tables_of(classes.count(), threshold, miss)
     keys = tables.write(classes.mapInArrow(_hashed(k, count, STEP), "tab int, key long, rep long, hash long"))
     met = tables.write(keys.groupBy(*bucket).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").select(*bucket, "blocks"))
-    dealt = keys.join(met, bucket).withColumn("own", F.pmod(F.xxhash64(*name), F.col("blocks")).cast("int"))
+    dealt = keys.join(merged(met), bucket).withColumn("own", F.pmod(F.xxhash64(*name), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", *name).join(classes.select(*name, "n", "vec"), name)
+    dealt = dealt.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", *name).join(merged(classes.select(*name, "n", "vec")), name)
     units = dealt.repartition(parallelism(vectors.sparkSession), *bucket, "p", "q").sortWithinPartitions(*bucket, "p", "q")
     found = tables.write(units.mapInArrow(_compare(threshold, k, STEP), "a long, ah long, b long, links long"))
     tables.drop(keys, met)
