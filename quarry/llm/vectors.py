@@ -31,6 +31,8 @@ COMPANY = 1000
 STEP = 1.5
 BLOCK = 2048
 _SLICE = 128
+#: Tables whose keys are drawn at once when linked pairs are looked up in earlier ones.
+_TABLES = 4
 _SEED = 20_240_601
 
 
@@ -70,24 +72,48 @@ def _doubles(held: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, "<f4" if x[0] == 4 else "<f8", offset=1).astype(np.float64) for x in held]
 
 
-def _keys(vectors: np.ndarray, k: int, count: int, step: float) -> np.ndarray:
-    """Key of each vector (rows, of one dimension) in each table."""
-    dim = vectors.shape[1]
-    unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
-    key = np.full((len(vectors), count), dim, np.uint64) + np.arange(count, dtype=np.uint64)[None, :] * np.uint64(1 << 32)
-    for at in range(count):  # a table's directions come from its own seed, so earlier tables can be drawn without the later ones
+_drawn: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+#: Units and directions are rounded to these binary places: sums of their products are whole numbers that doubles hold exactly,
+#: so a vector falls into the same cell whatever is multiplied along with it.
+_UNIT_BITS, _DIRECTION_BITS = 20, 14
+
+
+def _table(dim: int, k: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and shifts of one table, drawn from a seed of its own."""
+    if (dim, k, at) not in _drawn:
         rng = np.random.default_rng([_SEED, dim, at])
-        # summed component by component, so that the same vector falls into the same cell whatever else is in its batch
-        directions, shift = rng.standard_normal((dim, k)), rng.uniform(0, step, k)
-        place = np.broadcast_to(shift, (len(vectors), k)).copy()
-        for j in range(dim):
-            place += unit[:, j, None] * directions[j]
-        cell = np.floor(place / step).astype(np.int64).astype(np.uint64)
-        for j in range(k):
-            key[:, at] = T.mix(key[:, at] + cell[:, j])
+        _drawn[dim, k, at] = np.rint(rng.standard_normal((dim, k)) * 2.0**_DIRECTION_BITS), rng.uniform(0, 1, k)
+    return _drawn[dim, k, at]
+
+
+def _rounded(vectors: np.ndarray) -> np.ndarray:
+    return np.rint(vectors / np.sqrt((vectors * vectors).sum(1))[:, None] * 2.0**_UNIT_BITS)
+
+
+def _keys(rounded: np.ndarray, k: int, first: int, last: int, step: float) -> np.ndarray:
+    """Key of each vector (rows of _rounded(), of one dimension) in the tables from first to last."""
+    dim = rounded.shape[1]
+    drawn = [_table(dim, k, t) for t in range(first, last)]
+    place = rounded @ np.concatenate([d for d, _ in drawn], 1) / (step * 2.0 ** (_UNIT_BITS + _DIRECTION_BITS)) + np.concatenate([s for _, s in drawn])
+    cell = np.floor(place).astype(np.int64).astype(np.uint64).reshape(len(rounded), last - first, k)
+    key = np.full((len(rounded), last - first), dim, np.uint64) + np.arange(first, last, dtype=np.uint64)[None, :] * np.uint64(1 << 32)
+    for j in range(k):
+        key = T.mix(key + cell[:, :, j])
     return key.view(np.int64)
 
 
+def _first_met(rounded: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, tab: int, step: float) -> np.ndarray:
+    """The pairs (a, b) that meet in none of the tables before `tab`. Near pairs meet early, so few are left after some tables."""
+    left = np.arange(len(a))
+    for first in range(0, tab, _TABLES):
+        if not len(left):
+            break
+        met, number = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True)
+        keys = _keys(rounded[met], k, first, min(tab, first + _TABLES), step)
+        left = left[(keys[number[: len(left)]] != keys[number[len(left) :]]).all(1)]
+    return left
+
+
 def _hashed(k: int, count: int, step: float):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +123,7 @@ def _hashed(k: int, count: int, step: float):
                 size = np.array([len(x) for x in held])
                 for dim in np.unique(size):
                     own = np.flatnonzero(size == dim)
-                    key = _keys(np.stack([held[i] for i in own]), k, count, step)
+                    key = _keys(_rounded(np.stack([held[i] for i in own])), k, 0, count, step)
                     again = pa.array(np.repeat(own, count))
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(count, dtype=np.int32), len(own))), pa.array(key.reshape(-1)), part.column("rep").take(again), part.column("hash").take(again)], ["tab", "key", "rep", "hash"])
 
@@ -120,7 +146,7 @@ def _compare(threshold: float, k: int, step: float):
                 yield from unit(table.filter(pa.array(size == dim)).to_batches())
             return
         v = np.stack(held)
-        norm = np.sqrt((v * v).sum(1))
+        norm, rounded = np.sqrt((v * v).sum(1)), _rounded(v)
         links, label, found = np.zeros(len(rep), np.int64), np.arange(len(rep)), []
         for at in range(0, len(rep), _SLICE):
             cosine = v[at : at + _SLICE] @ v.T / (norm[at : at + _SLICE, None] * norm[None, :])
@@ -129,10 +155,8 @@ def _compare(threshold: float, k: int, step: float):
             ok = (a < b) & ((block[a] != block[b]) if p != q else True)
             a, b = a[ok], b[ok]
             if tab and len(a):
-                met = np.unique(np.concatenate([a, b]))
-                keys = _keys(v[met], k, tab, step)
-                fresh = (keys[np.searchsorted(met, a)] != keys[np.searchsorted(met, b)]).all(1)
-                a, b = a[fresh], b[fresh]
+                left = _first_met(rounded, a, b, k, tab, step)
+                a, b = a[left], b[left]
             if len(a):
                 np.add.at(links, a, n[b])
                 np.add.at(links, b, n[a])
