@@ -11,6 +11,7 @@ holds one block; with several, their hits are written down one after another and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -261,19 +262,29 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_
     context = docs.sparkSession.sparkContext
     with Tables(docs.sparkSession) as tables:
         index = positional_index(docs, tables, id_col, text_col)
-        found = None
+        held, done = [], []
+
+        def finished(shared, part: DataFrame) -> DataFrame:
+            part = tables.write(part)
+            shared.unpersist()
+            return part
+
         for windows in _blocks(benchmark, item_col, "text", window, block_windows):
             shared = context.broadcast(windows)
-            part = tables.write(index.mapInArrow(_search(shared, slack), _FOUND))
-            shared.unpersist()
-            found = part if found is None else found.unionByName(part)
+            held.append((shared, index.mapInArrow(_search(shared, slack), _FOUND)))
+            if len(held) > 1:  # several blocks: the one before is searched and let go before the next is broadcast
+                done.append(finished(*held.pop(0)))
+        found = held[0][1] if held and not done else None
+        if done:
+            done.append(finished(*held.pop()))
+            found = reduce(DataFrame.unionByName, done)
         members = index.mapInArrow(_members, "segment long, place int, doc_id long, _row long, n_words long")
         none = F.array().cast("array<string>")
         if found is None:
             return tables.keep(tables.write(members.select("doc_id", "_row", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("near"))))
         at = ["segment", "place"]
         every = found.groupBy(*at).agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        every = tables.write(every.mapInArrow(_counted, "segment long, place int, n_hit long, items array<string>, near array<string>"))
+        every = every.mapInArrow(_counted, "segment long, place int, n_hit long, items array<string>, near array<string>")
         joined = members.join(every, at, "left").select("doc_id", "_row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
         return tables.keep(tables.write(joined))
 
