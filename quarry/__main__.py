@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--out", default=".")
     args = parser.parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
-    config = files.load_config(args.root, args.config)
+    config = files.load_config(spark, args.root, args.config)
     if args.verb == "stats":
         for r in chunking.corpus_stats(corpus(spark, args.root, config)).collect():
             print(f"{r.segment}\t{r.n}\t({r.chunks} chunks, {r.files} files, {r.tokens} tokens in all)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ DAMPING, ITERATIONS, SEEDS = 0.85, 30, 50
 HUB_LEAST, HUB_QUANTILE = 50, 0.99
 #: Edges that one task may hold as arrays; beyond them rank mass moves by joins.
 BROADCAST_EDGES = 5_000_000
-#: Links of a file graph that are clustered in one place; beyond them labels spread by joins.
+#: Links of a file graph that are clustered in one place; beyond them the same rounds run as joins.
 LOUVAIN_EDGES = 500_000
 
 # What links and imports look like, and the suffixes tried for a module path.
@@ -309,92 +310,146 @@ def resolve_name(names: DataFrame, files: DataFrame, defs: DataFrame, most: int
     return every.select("name", "prio", F.col("p").alias("path"))
 
 
-def shortest_hops(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: int = 12) -> DataFrame:
-    """Hops of a shortest path from any source to each reachable target: src, dst, hops. A frontier join for each hop."""
+def shortest_hops(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Hops of a shortest path from each source to each target it reaches, however long: src, dst, hops. A frontier join for each hop, until none is left."""
+    return _reached(edges, sources).join(targets.select(F.col("path").alias("at")).distinct(), "at", "left_semi").select(F.col("root").alias("src"), F.col("at").alias("dst"), "hops")
+
+
+def _reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """root, at, hops, and the smallest neighbour one hop nearer to the root (null for the root)."""
     from quarry.sources.tables import checkpointed
 
     links = checkpointed(both_ways(edges))
-    seen = checkpointed(sources.select(F.col("path").alias("root"), F.col("path").alias("at"), F.lit(0).alias("hops")).distinct())
-    frontier = seen
-    for k in range(1, limit + 1):
-        step = frontier.join(links, F.col("at") == F.col("src")).select("root", F.col("dst").alias("at")).distinct()
-        frontier = checkpointed(step.join(seen.select("root", "at"), ["root", "at"], "left_anti").withColumn("hops", F.lit(k)))
-        if frontier.isEmpty():
-            break
+    seen = checkpointed(sources.select(F.col("path").alias("root"), F.col("path").alias("at"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("before")).distinct())
+    frontier, k = seen, 0
+    while not frontier.isEmpty():
+        k += 1
+        step = frontier.join(links, F.col("at") == F.col("src")).groupBy("root", F.col("dst").alias("at")).agg(F.min("src").alias("before"))
+        frontier = checkpointed(step.join(seen.select("root", "at"), ["root", "at"], "left_anti").select("root", "at", F.lit(k).alias("hops"), "before"))
         seen = seen.unionByName(frontier)
-    return seen.join(targets.select(F.col("path").alias("at")).distinct(), "at", "left_semi").select(F.col("root").alias("src"), F.col("at").alias("dst"), "hops")
+    return seen
 
 
-def louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Community of each of n nodes: greedy modularity moves in node order, then the same on the merged graph, until nothing improves."""
-    label = np.arange(n)
-    while True:
-        links: list[dict[int, float]] = [{} for _ in range(n)]
-        for a, b, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
-            links[a][b] = links[a].get(b, 0.0) + w
-            if a != b:
-                links[b][a] = links[b].get(a, 0.0) + w
-        degree = np.array([sum(x.values()) + x.get(i, 0.0) for i, x in enumerate(links)])
-        total = degree.sum()
-        own, size = np.arange(n), degree.copy()
-        moved_ever, moved = False, total > 0
-        while moved:
-            moved = False
-            for i in range(n):
-                gain: dict[int, float] = {}
-                for j, w in links[i].items():
-                    if j != i:
-                        gain[own[j]] = gain.get(own[j], 0.0) + w
-                size[own[i]] -= degree[i]
-                best, most = own[i], gain.get(own[i], 0.0) - size[own[i]] * degree[i] / total
-                for c in sorted(gain):
-                    value = gain[c] - size[c] * degree[i] / total
-                    if value > most + 1e-12:
-                        best, most = c, value
-                size[best] += degree[i]
-                if best != own[i]:
-                    own[i], moved, moved_ever = best, True, True
-        names, own = np.unique(own, return_inverse=True)
-        label = own[label]
-        if not moved_ever:
-            return label
-        src, dst, n = own[src], own[dst], len(names)
-
-
-def _propagated(edges: DataFrame, node: DataFrame, rounds: int) -> DataFrame:
-    """path, label by weighted label propagation; in turn only files of even or odd hash move, so two can't swap labels for ever."""
+def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each pair (qid, src, dst) that is connected, its shortest route: qid, src, dst, hops, route (paths from src to dst).
+
+    Of equal routes the one whose last steps come from the smallest neighbours. All pairs walk back together, one hop in each round.
+    """
     from quarry.sources.tables import checkpointed
 
-    links = checkpointed(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")))
-    held = checkpointed(node.select("path", F.col("path").alias("label")))
-    for k in range(rounds):
-        votes = links.join(held, F.col("dst") == F.col("path")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("new"))
-        moves = F.pmod(F.xxhash64("path"), F.lit(2)) == k % 2
-        after = held.join(best, F.col("path") == F.col("src"), "left").select("path", F.when(moves, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"))
-        held = checkpointed(after)
-    return held
+    seen = checkpointed(_reached(edges, pairs.select(F.col("src").alias("path"))))
+    step = seen.select(F.col("root").alias("r"), F.col("at").alias("x"), "before")
+    walk = pairs.join(seen.select(F.col("root").alias("src"), F.col("at").alias("dst"), "hops"), ["src", "dst"]).select("qid", "src", "dst", "hops", F.array("dst").alias("route"))
+    walk = checkpointed(walk)
+    for _ in range(walk.agg(F.max("hops")).first()[0] or 0):
+        first = F.get("route", F.lit(0))
+        moved = walk.join(step, (F.col("src") == F.col("r")) & (first == F.col("x")), "left")
+        walk = checkpointed(moved.select("qid", "src", "dst", "hops", F.when(F.col("before").isNotNull(), F.concat(F.array("before"), "route")).otherwise(F.col("route")).alias("route")))
+    return walk
+
+
+#: A round that raises modularity by less doesn't count as better, and so many such rounds end a level.
+_BETTER, _PATIENCE = 1e-9, 4
+
 
+def _modularity_level(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """One level of modularity moves over arrays: links in both directions (a loop once, at twice its weight); the community of each node, named by a node.
 
-def communities(edges: DataFrame, node: DataFrame, rounds: int = 12, most: int = LOUVAIN_EDGES) -> DataFrame:
+    In each round the nodes whose hash in `order` has the round's bit move, all at once, to the neighbouring community of most gain, the smallest of
+    equal ones; the best partition seen counts.
+    """
+    n = len(order)
+    k, total = np.bincount(src, weight, n), weight.sum()
+    apart = src != dst
+    u, v, w = src[apart], dst[apart], weight[apart]
+    label = best = np.arange(n)
+    most, waited, turn = -np.inf, 0, 0
+    while waited < _PATIENCE and total > 0:
+        size = np.bincount(label, k, n)
+        quality = weight[label[src] == label[dst]].sum() / total - ((size / total) ** 2).sum()
+        if quality > most + _BETTER:
+            most, best, waited = quality, label, 0
+        else:
+            waited += 1
+        pair, number = np.unique(u * n + label[v], return_inverse=True)
+        node, group = pair // n, pair % n
+        gain = np.bincount(number, w, len(pair)) - k[node] * (size[group] - np.where(group == label[node], k[node], 0.0)) / total
+        own = -k * (size[label] - k) / total
+        stay = group == label[node]
+        own[node[stay]] = gain[stay]
+        first = np.lexsort((group, -gain, node))
+        first = first[np.flatnonzero(np.concatenate([[True], node[first][1:] != node[first][:-1]]))] if len(first) else first
+        goes = first[(gain[first] > own[node[first]] + 1e-12) & ((order[node[first]] >> turn & 1) == 1)]
+        label = label.copy()
+        label[node[goes]] = group[goes]
+        turn = (turn + 1) % 32
+    return best
+
+
+def _level_by_joins(links: DataFrame, total: float) -> DataFrame:
+    """The same level over a table of links (src, dst, weight): path, label."""
+    from quarry.sources.tables import checkpointed
+
+    nodes = checkpointed(links.groupBy(F.col("src").alias("path")).agg(F.sum("weight").alias("k")))
+    label = best = nodes.select("path", "k", F.col("path").alias("label"))
+    apart = links.where("src <> dst")
+    most, waited, turn = float("-inf"), 0, 0
+    while waited < _PATIENCE:
+        size = label.groupBy("label").agg(F.sum("k").alias("size"))
+        ends = label.select(F.col("path").alias("dst"), F.col("label").alias("group"))
+        met = links.join(ends, "dst").join(label.select(F.col("path").alias("src"), "label"), "src").where("group = label").agg(F.sum("weight")).first()[0] or 0.0
+        quality = met / total - size.agg(F.sum(F.pow(F.col("size") / total, 2))).first()[0]
+        if quality > most + _BETTER:
+            most, best, waited = quality, label, 0
+        else:
+            waited += 1
+        near = apart.join(ends, "dst").groupBy("src", "group").agg(F.sum("weight").alias("w"))
+        near = near.join(label.withColumnRenamed("path", "src"), "src").join(size.withColumnRenamed("label", "group"), "group")
+        near = near.withColumn("stay", F.col("group") == F.col("label")).withColumn("gain", F.col("w") - F.col("k") * (F.col("size") - F.when(F.col("stay"), F.col("k")).otherwise(0.0)) / total)
+        pick = near.groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("less"), "group")).alias("top"), F.max(F.when(F.col("stay"), F.col("gain"))).alias("held"))
+        moved = label.join(size, "label").join(pick, F.col("path") == F.col("src"), "left")
+        own = F.coalesce("held", -F.col("k") * (F.col("size") - F.col("k")) / total)
+        goes = (-F.col("top.less") > own + 1e-12) & (F.shiftright(F.crc32("path"), turn).bitwiseAND(F.lit(1)) == 1)
+        label = checkpointed(moved.select("path", "k", F.when(F.coalesce(goes, F.lit(False)), F.col("top.group")).otherwise(F.col("label")).alias("label")))
+        turn = (turn + 1) % 32
+    return best.select("path", "label")
+
+
+def communities(edges: DataFrame, node: DataFrame, most: int = LOUVAIN_EDGES) -> DataFrame:
     """path, cid: subsystems of the file graph, 0 the largest. Isolated files are their own.
 
-    The link table's count decides the form: up to `most` links are merged by modularity in one place; above, labels spread by
-    joins, whose groups are coarser.
+    Modularity is raised by rounds of simultaneous moves, then again on the graph of the communities, until a level merges nothing. There is one
+    algorithm: while a level has at most `most` links its rounds run over arrays, else as joins, and both give the same groups for
+    weights that are whole numbers. A null weight counts as 0.
     """
-    if edges.count() <= most:
-        held = edges.select("a", "b", "weight").orderBy("a", "b").toPandas()  # at most `most` rows
-        paths = sorted({*held["a"], *held["b"]})
-        at = {p: i for i, p in enumerate(paths)}
-        label = louvain(held["a"].map(at).to_numpy(int), held["b"].map(at).to_numpy(int), held["weight"].to_numpy(float), len(paths))
-        lead = {c: paths[i] for i, c in reversed(list(enumerate(label.tolist())))}
-        made = edges.sparkSession.createDataFrame([(p, lead[c]) for p, c in zip(paths, label.tolist(), strict=True)] or [], "p string, label string")
-        named = node.select("path").join(made, F.col("path") == F.col("p"), "left").select("path", F.coalesce("label", "path").alias("label"))
-    else:
-        named = _propagated(edges, node, rounds)
-    size = named.groupBy("label").agg(F.count("*").alias("n"))
-    size = size.withColumn("cid", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)  # one row for each community
-    return named.join(size, "label").select("path", F.col("cid").cast("int").alias("cid"))
+    from quarry.sources.tables import checkpointed
+
+    links = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight")).where("weight > 0")
+    links = checkpointed(links.union(links.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    named = node.select("path", F.col("path").alias("label")).distinct()
+    while True:
+        n, total = links.agg(F.count("*"), F.sum("weight")).first()
+        if not n:
+            break
+        if n <= most:
+            held = links.toPandas()  # at most `most` rows
+            paths = sorted({*held["src"], *held["dst"]})
+            at = {p: i for i, p in enumerate(paths)}
+            order = np.array([zlib.crc32(p.encode()) for p in paths], np.int64)
+            label = _modularity_level(held["src"].map(at).to_numpy(int), held["dst"].map(at).to_numpy(int), held["weight"].to_numpy(float), order)
+            level = edges.sparkSession.createDataFrame([(p, paths[c]) for p, c in zip(paths, label.tolist(), strict=True)], "path string, label string")
+        else:
+            level = _level_by_joins(links, total)
+        level = checkpointed(level)
+        if level.where("path <> label").isEmpty():
+            break
+        named = checkpointed(named.join(level.select(F.col("path").alias("label"), F.col("label").alias("new")), "label", "left").select("path", F.coalesce("new", "label").alias("label")))
+        up = lambda end: level.select(F.col("path").alias(end), F.col("label").alias(f"{end}_up"))  # noqa: B023, E731
+        links = checkpointed(links.join(up("src"), "src").join(up("dst"), "dst").groupBy(F.col("src_up").alias("src"), F.col("dst_up").alias("dst")).agg(F.sum("weight").alias("weight")))
+    # groups by their smallest member, whichever node has given the name
+    named = named.join(named.groupBy("label").agg(F.min("path").alias("lead"), F.count("*").alias("n")), "label")
+    size = named.select("lead", "n").distinct().withColumn("cid", F.row_number().over(Window.orderBy(F.desc("n"), "lead")) - 1)  # one row for each community
+    return named.join(size, "lead").select("path", F.col("cid").cast("int").alias("cid"))
 
 
 def missing_refs(chunks: DataFrame, files: DataFrame, present: DataFrame | None = None) -> DataFrame:

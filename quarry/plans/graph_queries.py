@@ -161,14 +161,14 @@ def explain_users_50(spark: SparkSession, d: str) -> DataFrame:
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     _, e = _graph(spark, d)
     c = S.chunks(spark, d).select("path", "idx")
-    return G.shortest_hops(e, c.where("idx IN (5, 6, 7)"), c.where("idx % 100 = 10"), limit=6)
+    return G.shortest_hops(e, c.where("idx IN (5, 6, 7)"), c.where("idx % 100 = 10"))
 
 
 def shortest_path_50(spark: SparkSession, d: str) -> DataFrame:
     """From the stated query set, ids divisible by 50, to every file."""
     _, e = _graph(spark, d)
     c = S.chunks(spark, d).select("path", "idx")
-    return G.shortest_hops(e, c.where("idx % 50 = 0"), c, limit=6)
+    return G.shortest_hops(e, c.where("idx % 50 = 0"), c)
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:

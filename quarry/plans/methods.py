@@ -131,15 +131,20 @@ class Methods:
         return out
 
 
-def prefixes(model: str, decisions: bool = False) -> tuple[str, str, int]:
-    """Query prefix, document prefix and longest input of an encoder family."""
-    name = model.lower()
-    if "e5" in name:
-        return "query: ", "passage: ", 512
-    if "qwen3" in name:
-        task = "Given a question, retrieve the decision record that answers it" if decisions else "Given a question about a codebase, retrieve code that answers it"
-        return f"Instruct: {task}\nQuery:", "", 1024
-    return "", "", 128 if "minilm" in name else 512
+# By a part of an encoder's name, what its queries and documents begin with and the tokens it takes (null: its own limit).
+PREFIXES = {
+    "e5": ("query: ", "passage: ", None),
+    "qwen3-embedding": ("Instruct: Given a description of a code change or a question about a software project, retrieve the relevant source files and documents\nQuery: ", "", 512),
+    "embeddinggemma": ("task: code retrieval | query: ", "title: none | text: ", 512),
+}
+#: The same where only decisions are searched.
+DECISION_PREFIXES = PREFIXES | {"embeddinggemma": ("task: search result | query: ", "title: none | text: ", 512)}
+
+
+def prefixes(model: str, decisions: bool = False) -> tuple[str, str, int | None]:
+    """Query prefix, document prefix and longest input of an encoder, by the first family that its name holds."""
+    family = DECISION_PREFIXES if decisions else PREFIXES
+    return next((held for part, held in family.items() if part in model.lower()), ("", "", None))
 
 
 def sample_decisions(chunks: DataFrame, n: int, seed: int = 7, least: int = 400, batch: int = 10, cut: int = 4000) -> DataFrame:

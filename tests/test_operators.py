@@ -135,13 +135,47 @@ def test_communities_and_report(spark):
     for r in c.collect():
         groups.setdefault(r.cid, set()).add(r.path)
     assert sorted(map(len, groups.values()), reverse=True) == [4, 4, 1]
-    spread = graph.communities(e, n, most=0)  # by joins: a partition too
-    assert spread.count() == spread.select("path").distinct().count() == 9
+    spread = graph.communities(e, n, most=0)  # by joins: the same groups
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, c.collect()))
     missing = graph.missing_refs(n.select("path", "kind", F.lit("see `a/f0.py`, gone/x.py. https://h.org/y/z.py ./f1.py b/f9.ts#l").alias("text")), n)
     text = explore.report("demo", n, e, c, missing)
-    assert "`a/f0.py` — 4 links" in text and "`a/f0.py` ↔ `b/f0.py` (import)" in text and "`docs/adr/1.md` → `gone/x.py`" in text and "`b/f9.ts`" in text and "z.py" not in text
+    assert "| a/f0.py | 4 |" in text and "| a/f0.py | b/f0.py | import |" in text and "| docs/adr/1.md | gone/x.py |" in text and "b/f9.ts" in text and "z.py" not in text
+    assert "| a | 4 | a/f0.py, a/f1.py, a/f2.py |" in text and "| links by import | 1 |" in text
     assert "</script>" in explore.to_html("demo <x>", n, e, c) and "demo &lt;x&gt;" in explore.to_html("demo <x>", n, e, c)
-    assert tools.find_path(e, n.where("path = 'a/f3.py'"), n.where("path = 'b/f2.py'")).first().hops == 3
+    defs = spark.createDataFrame([("thing", "b/f2.py")], "name string, def_path string")
+    asked = spark.createDataFrame([(1, "a/f3.py", "thing"), (2, "f0.py", "b/f0.py"), (3, "a/f0.py", "1.md"), (4, "nowhere", "thing"), (5, "thing", "thing")], "qid int, a string, b string")
+    got = {r.qid: (r.hops, r.route) for r in tools.find_path(e, asked, n, defs).collect()}
+    assert got == {1: (3, "a/f3.py --ref s--> a/f0.py --import--> b/f0.py --ref s--> b/f2.py"), 2: (0, "b/f0.py"), 5: (0, "b/f2.py")}
+
+
+def test_communities_both_ways(spark):
+    """Arrays and joins give the same groups, of no less modularity than planted ones."""
+    rng = np.random.default_rng(8)
+    pairs = {}
+    for _ in range(400):
+        g = rng.integers(0, 6)
+        a, b = sorted(rng.integers(0, 12, 2) + 12 * (g if rng.random() < 0.9 else rng.integers(0, 6, 2)))
+        if a != b:
+            pairs[f"f{a:02}", f"f{b:02}"] = float(rng.integers(1, 4))
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a string, b string, weight double")
+    n = spark.createDataFrame([(f"f{i:02}",) for i in range(74)], "path string")
+    got = dict(map(tuple, graph.communities(e, n).collect()))
+    assert got == dict(map(tuple, graph.communities(e, n, most=0).collect())) and len(got) == 74
+
+    def quality(label):
+        total, k = 2 * sum(pairs.values()), {}
+        for (a, b), w in pairs.items():
+            k[label[a]], k[label[b]] = k.get(label[a], 0) + w, k.get(label[b], 0)
+            k[label[b]] += w
+        return sum(2 * w for (a, b), w in pairs.items() if label[a] == label[b]) / total - sum((x / total) ** 2 for x in k.values())
+
+    assert quality(got) > 0.95 * quality({f"f{i:02}": i // 12 for i in range(74)})
+
+
+def test_long_paths(spark):
+    e = spark.createDataFrame([(f"p{i:02}", f"p{i + 1:02}") for i in range(20)], "a string, b string")
+    one = lambda p: spark.createDataFrame([(p,)], "path string")
+    assert graph.shortest_hops(e, one("p00"), one("p20")).first().hops == 20
 
 
 def test_dense_store(spark, tmp_path):

@@ -28,7 +28,7 @@ def test_project(spark, tmp_path):
     run("init", "-q")
     run("add", ".")
     run("commit", "-qm", "feat: first commit of all")
-    made = files.load_config(str(tmp_path))
+    made = files.load_config(spark, str(tmp_path))
     assert made["corpus"]["max_bytes"] == 10 and made["corpus"]["exclude"]
     assert made["graph"] == {"dart_package": "shop", "dart_root": "own", "aliases": {"@/": "web/src/"}}
     assert files.decision_globs(made)[-1] == "docs/notes/*"
