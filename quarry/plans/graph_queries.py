@@ -28,10 +28,6 @@ def ref_edges_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_edges_long(spark: SparkSession, d: str) -> DataFrame:
-    return G.ref_edges(S.chunks(spark, d).where("source IN ('src0', 'src1', 'src2')"), "long").select("i", "j", F.round("w", 6).alias("w"))
-
-
-def ref_edges_long_all(spark: SparkSession, d: str) -> DataFrame:
     """The uncapped weighting over all documents."""
     return G.ref_edges(S.chunks(spark, d), "long").select("i", "j", F.round("w", 6).alias("w"))
 
@@ -134,10 +130,6 @@ def _resolved(spark: SparkSession, d: str, asked: str) -> DataFrame:
 
 
 def resolve_name(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d, "idx % 50 = 3")
-
-
-def resolve_name_50(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: ids divisible by 50."""
     return _resolved(spark, d, "idx % 50 = 0")
 
@@ -150,21 +142,11 @@ def _explained(spark: SparkSession, d: str, asked: str) -> DataFrame:
 
 
 def explain_users(spark: SparkSession, d: str) -> DataFrame:
-    return _explained(spark, d, "def_idx % 10 = 1")
-
-
-def explain_users_50(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: names that ids divisible by 50 define."""
     return _explained(spark, d, "def_idx % 50 = 0")
 
 
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    _, e = _graph(spark, d)
-    c = S.chunks(spark, d).select("path", "idx")
-    return G.shortest_hops(e, c.where("idx IN (5, 6, 7)"), c.where("idx % 100 = 10"))
-
-
-def shortest_path_50(spark: SparkSession, d: str) -> DataFrame:
     """From the stated query set, ids divisible by 50, to every file."""
     _, e = _graph(spark, d)
     c = S.chunks(spark, d).select("path", "idx")
@@ -182,7 +164,7 @@ def search_code(spark: SparkSession, d: str) -> DataFrame:
     return tool(S.chunks(spark, d), S.queries(spark, d), _dense(spark, d), _refs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (ref_edges_cap, ref_edges_long, ref_edges_long_all, link_edges, file_edges, neighbours, adjacency, hub_nodes, ppr_topk, ppr_transit_block, ppr_beta, expand, file_graph, file_nodes, hubs, undocumented_hubs, cross_links, resolve_name, resolve_name_50, explain_users, explain_users_50, shortest_path, shortest_path_50, communities, search_code)}
+QUERIES = {f.__name__: f for f in (ref_edges_cap, ref_edges_long, link_edges, file_edges, neighbours, adjacency, hub_nodes, ppr_topk, ppr_transit_block, ppr_beta, expand, file_graph, file_nodes, hubs, undocumented_hubs, cross_links, resolve_name, explain_users, shortest_path, communities, search_code)}
 
 _IDENT = r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Za-z_]') AND length(w) >= 4)"
 REFS = f"""
@@ -233,7 +215,7 @@ _E = f"WITH RECURSIVE {S.SQL}, {REFS}, {FILES}, {_FG} "
 
 ORACLE_SQL = {
     "ref_edges_cap": _G + "SELECT i, j, round(w, 6) AS w FROM refs",
-    "ref_edges_long": f"WITH {S.SQL.replace('FROM documents', chr(70) + 'ROM documents WHERE source IN (' + chr(39) + 'src0' + chr(39) + ', ' + chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39) + ')')}, {REFS}" + """, nf AS (SELECT name, count(DISTINCT def_path) AS files FROM defs GROUP BY name)
+    "ref_edges_long": f"WITH {S.SQL}, {REFS}" + """, nf AS (SELECT name, count(DISTINCT def_path) AS files FROM defs GROUP BY name)
 SELECT least(use_idx, def_idx) AS i, greatest(use_idx, def_idx) AS j, round(max(CASE WHEN length(name) >= 8 AND (contains(trim(name, '_'), '_') OR regexp_matches(name, '[a-z0-9][A-Z]')) THEN 10.0 ELSE 1.0 END * CASE WHEN starts_with(name, '_') THEN 0.1 ELSE 1.0 END * CASE WHEN files > 5 THEN 0.1 ELSE 1.0 END * sqrt(n)), 6) AS w
 FROM used0 JOIN defs USING (name) JOIN nf USING (name) WHERE use_path <> def_path GROUP BY ALL""",
     "link_edges": r"""WITH t AS (SELECT DISTINCT 'site/' || page_id || '.html' AS path, unnest(regexp_extract_all(html, 'href="([^"#]+)', 1)) AS target FROM pages),
@@ -252,20 +234,16 @@ SELECT DISTINCT least(path, w) AS a, greatest(path, w) AS b FROM w WHERE w IN (S
     "hubs": _E + "SELECT * FROM hubf",
     "undocumented_hubs": _E + "SELECT path, degree FROM hubf WHERE NOT EXISTS (SELECT 1 FROM ways JOIN chunks c ON c.path = dst WHERE src = hubf.path AND c.kind <> 'code')",
     "cross_links": _E + "SELECT a, b, weight, via FROM fe JOIN chunks x ON x.path = a JOIN chunks y ON y.path = b WHERE x.kind = 'code' AND y.kind = 'code' AND split_part(a, '/', 1) <> split_part(b, '/', 1) ORDER BY weight DESC, a, b LIMIT 15",
-    "explain_users": _G + ", asked AS (SELECT DISTINCT name FROM defs WHERE def_idx % 10 = 1), us AS (SELECT u.name, use_path, sum(n) AS n FROM used0 u JOIN asked USING (name) JOIN (SELECT DISTINCT name, def_path FROM defs) d ON d.name = u.name WHERE use_path <> def_path GROUP BY ALL), ur AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, use_path) AS r FROM us) SELECT name, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT def_path AS p FROM defs WHERE defs.name = asked.name)) AS sites, (SELECT count(*) FROM us WHERE us.name = asked.name) AS n_users, coalesce((SELECT string_agg(use_path, ',' ORDER BY r) FROM ur WHERE ur.name = asked.name AND r <= 12), '') AS users FROM asked",
-    "resolve_name": _G + r""", names AS (SELECT DISTINCT name FROM (SELECT unnest([path, symbol, upper(symbol), idx || '.txt', '_' || idx, 'C' || substr(path, 3, 5)]) AS name FROM chunks WHERE idx % 50 = 3) WHERE name <> ''),
+    "explain_users": _G + ", asked AS (SELECT DISTINCT name FROM defs WHERE def_idx % 50 = 0), us AS (SELECT u.name, use_path, sum(n) AS n FROM used0 u JOIN asked USING (name) JOIN (SELECT DISTINCT name, def_path FROM defs) d ON d.name = u.name WHERE use_path <> def_path GROUP BY ALL), ur AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, use_path) AS r FROM us) SELECT name, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT def_path AS p FROM defs WHERE defs.name = asked.name)) AS sites, (SELECT count(*) FROM us WHERE us.name = asked.name) AS n_users, coalesce((SELECT string_agg(use_path, ',' ORDER BY r) FROM ur WHERE ur.name = asked.name AND r <= 12), '') AS users FROM asked",
+    "resolve_name": _G + r""", names AS (SELECT DISTINCT name FROM (SELECT unnest([path, symbol, upper(symbol), idx || '.txt', '_' || idx, 'C' || substr(path, 3, 5)]) AS name FROM chunks WHERE idx % 50 = 0) WHERE name <> ''),
 f AS (SELECT path AS p, regexp_extract(path, '([^/]*)$', 1) AS base, replace(lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '')), '_', '') AS stem FROM chunks),
 r AS (SELECT name, 1 AS prio, p FROM names JOIN f ON name = p UNION SELECT n.name, 2, def_path FROM names n JOIN defs d ON n.name = d.name UNION SELECT n.name, 3, def_path FROM names n JOIN defs d ON lower(n.name) = lower(d.name)
 UNION SELECT name, 4, p FROM names JOIN f ON p = name OR ends_with(p, '/' || name) UNION SELECT name, 5, p FROM names JOIN f ON replace(lower(name), '_', '') = stem UNION SELECT name, 6, p FROM names JOIN f ON contains(lower(p), lower(name))),
 b AS (SELECT *, min(prio) OVER (PARTITION BY name) AS best FROM r), k AS (SELECT name, prio, p AS path, row_number() OVER (PARTITION BY name ORDER BY p) AS n FROM b WHERE prio = best) SELECT name, prio, path FROM k WHERE prio < 6 OR n <= 10""",
-    "shortest_path": _E + ", bfs AS (SELECT path AS root, path AS cur, 0 AS hops FROM chunks WHERE idx IN (5, 6, 7) UNION SELECT root, dst, hops + 1 FROM bfs JOIN ways ON src = cur WHERE hops < 6) SELECT root AS src, cur AS dst, min(hops) AS hops FROM bfs WHERE cur IN (SELECT path FROM chunks WHERE idx % 100 = 10) GROUP BY ALL",
+    "shortest_path": _E + ", bfs AS (SELECT path AS root, path AS cur, 0 AS hops FROM chunks WHERE idx % 50 = 0 UNION SELECT root, dst, hops + 1 FROM bfs JOIN ways ON src = cur WHERE hops < 40) SELECT root AS src, cur AS dst, min(hops) AS hops FROM bfs GROUP BY ALL",
     "search_code": _F.rstrip() + f""", {REFS}, both0 AS (SELECT i AS x, j AS y, w::DOUBLE AS w FROM refs),
 sums AS (SELECT src, dst, sum(w) AS w FROM (SELECT x AS src, y AS dst, w FROM both0 UNION ALL SELECT y, x, w FROM both0) GROUP BY ALL), adj AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM sums),
 node AS MATERIALIZED (SELECT idx, coalesce(cnt, 1) AS cnt FROM chunks LEFT JOIN (SELECT src AS idx, count(*) AS cnt FROM adj GROUP BY 1) USING (idx)), {_HUB}, {SEED_SQL}, {ppr_sql('hub', 'pi', 'SELECT qid, idx, f.score FROM seeds JOIN fused f USING (qid, idx)')},
 cd AS (SELECT qid, idx, pos FROM pr JOIN chunks USING (idx) WHERE is_code), {fold_sql('pk', 'cd', '6000')} SELECT * FROM pk""".replace(S.bm25_sql(), S.bm25_sql(True)),
 }
 ORACLE_SQL["search_code"] = ORACLE_SQL["search_code"].replace(S.bm25_sql(), S.bm25_sql(True))
-ORACLE_SQL["ref_edges_long_all"] = ORACLE_SQL["ref_edges_long"].replace(" WHERE source IN ('src0', 'src1', 'src2')", "")
-ORACLE_SQL["resolve_name_50"] = ORACLE_SQL["resolve_name"].replace("idx % 50 = 3", "idx % 50 = 0")
-ORACLE_SQL["explain_users_50"] = ORACLE_SQL["explain_users"].replace("def_idx % 10 = 1", "def_idx % 50 = 0")
-ORACLE_SQL["shortest_path_50"] = ORACLE_SQL["shortest_path"].replace("idx IN (5, 6, 7)", "idx % 50 = 0").replace(" WHERE cur IN (SELECT path FROM chunks WHERE idx % 100 = 10)", "")

@@ -55,19 +55,10 @@ def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cell", "n", *[F.round(x, 6).alias(x) for x in ("a", "b", "diff")], "wins", "losses")
 
 
-def _bootstrap(customers: DataFrame) -> DataFrame:
-    o = customers.select(F.col("c_custkey").alias("num"), (F.col("c_acctbal") / 1000).alias("diff"))
-    return E.bootstrap(o, 500).select("n", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")])
-
-
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Mean balance with its interval, over the first 50 customers as cases."""
-    return _bootstrap(S.table(spark, d, "customer").where("c_custkey < 50"))
-
-
-def bootstrap_ci_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all customers."""
-    return _bootstrap(S.table(spark, d, "customer"))
+    """Mean balance of all customers, each as a case, with its interval."""
+    o = S.table(spark, d, "customer").select(F.col("c_custkey").alias("num"), (F.col("c_acctbal") / 1000).alias("diff"))
+    return E.bootstrap(o, 500).select("n", *[F.round(x, 6).alias(x) for x in ("mean", "lo", "hi")])
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -81,10 +72,6 @@ def _judged(e: DataFrame) -> DataFrame:
 
 
 def judge_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(S.table(spark, d, "events").where("event_id % 10 = 0"))
-
-
-def judge_scores_all(spark: SparkSession, d: str) -> DataFrame:
     """Every event as an answer."""
     return _judged(S.table(spark, d, "events"))
 
@@ -131,10 +118,6 @@ def _past(spark: SparkSession, d: str, asked: str) -> DataFrame:
 
 
 def past_commits(spark: SparkSession, d: str) -> DataFrame:
-    return _past(spark, d, "cid % 1000 = 7")
-
-
-def past_commits_50(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: ids divisible by 50."""
     return _past(spark, d, "cid % 50 = 0")
 
@@ -187,7 +170,7 @@ def throttled_hint(spark: SparkSession, d: str) -> DataFrame:
 def usage_attribution(spark: SparkSession, d: str) -> DataFrame:
     c = S.table(spark, d, "conversations")
     words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
-    calls = c.where("role = 'user'").select(F.col("conv_id").alias("session"), F.col("turn").alias("call"), F.col("turn").alias("n"), F.slice(words, 1, 12).alias("shown"))
+    calls = c.where("role = 'user'").select(F.col("conv_id").alias("session"), F.col("turn").alias("call"), F.col("turn").alias("n"), words.alias("shown"))
     edits = c.where("role = 'assistant'").select(F.col("conv_id").alias("session"), F.col("turn").alias("n"), F.explode(words).alias("path"))
     u = V.usage(calls, edits)
     return u.select("session", "call", F.array_join("shown", " ").alias("shown"), F.array_join("used", " ").alias("used"))
@@ -232,7 +215,7 @@ def stream_throttled(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (recall_at_budget, recall_files_k, oracle_max, compare_runs, bootstrap_ci, bootstrap_ci_all, latency_percentiles, judge_scores, judge_scores_all, pointer_channel, case_mining, decision_mining, past_commits, past_commits_50, digest_latest)
+    for f in (recall_at_budget, recall_files_k, oracle_max, compare_runs, bootstrap_ci, latency_percentiles, judge_scores, pointer_channel, case_mining, decision_mining, past_commits, digest_latest)
     + (status_summary, last_event_per_key, last_build_failed, asof_last_start, quiet_gaps, throttled_hint, usage_attribution, idle_sessions, event_windows, sliding_windows, json_props, stream_event_windows, stream_throttled)
 }
 
@@ -258,15 +241,15 @@ ORACLE_SQL = {
     "recall_files_k": _F + f", {_CS} SELECT cell, method, count(*) AS n, round(avg(score), 6) AS recall FROM cs GROUP BY ALL",
     "oracle_max": _F + f", {_CS} SELECT cell, case_id, round(max(score), 6) AS score FROM cs GROUP BY ALL",
     "compare_runs": _F + f", {_CS} SELECT x.cell, count(*) AS n, round(avg(x.score), 6) AS a, round(avg(y.score), 6) AS b, round(avg(x.score - y.score), 6) AS diff, count(*) FILTER (x.score > y.score) AS wins, count(*) FILTER (x.score < y.score) AS losses FROM cs x JOIN cs y ON x.cell = y.cell AND x.case_id = y.case_id AND x.method = 'lexical' AND y.method = 'dense' GROUP BY x.cell",
-    "bootstrap_ci": """WITH c AS (SELECT c_custkey AS num, c_acctbal / 1000 AS diff FROM customer WHERE c_custkey < 50), n AS (SELECT count(*) AS n, avg(diff) AS mean FROM c),
+    "bootstrap_ci": """WITH c AS (SELECT c_custkey AS num, c_acctbal / 1000 AS diff FROM customer), n AS (SELECT count(*) AS n, avg(diff) AS mean FROM c),
 dr AS (SELECT r, ('0x' || substr(md5(r || ':' || num), 1, 8))::BIGINT % n AS pick FROM c, n, (SELECT unnest(range(500)) AS r)), m AS (SELECT r, avg(diff) AS m FROM dr JOIN c ON c.num = pick GROUP BY r)
 SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM n, m GROUP BY n, mean""",
     "latency_percentiles": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
-    "judge_scores": "SELECT event_id AS qid, id::INT AS id, CASE WHEN event_id % 70 = 0 THEN 0.0 WHEN id = 0 THEN 1.0 WHEN id = 2 THEN (event_id % 9) / 10.0 ELSE 0.0 END::DOUBLE AS score FROM events, (SELECT unnest(range(4)) AS id) WHERE event_id % 10 = 0",
+    "judge_scores": "SELECT event_id AS qid, id::INT AS id, CASE WHEN event_id % 70 = 0 THEN 0.0 WHEN id = 0 THEN 1.0 WHEN id = 2 THEN (event_id % 9) / 10.0 ELSE 0.0 END::DOUBLE AS score FROM events, (SELECT unnest(range(4)) AS id)",
     "pointer_channel": _F + f", {fold_sql('pk', 'lexr', '5400')} SELECT qid, idx, pos FROM pk",
     "case_mining": _mined("cid % 5 IN (0, 1)", "CASE WHEN cid % 5 = 0 THEN o_orderstatus || ': ' || txt ELSE txt END", "git-", 4),
     "decision_mining": _mined("cid % 5 <> 3", "CASE WHEN cid % 5 = 0 THEN o_orderstatus || ': ' || txt ELSE txt END", "dec-", 2),
-    "past_commits": f"""WITH {_CM}, ca AS (SELECT cid AS qid, ts, subject AS query FROM commits WHERE cid % 1000 = 7), dt AS MATERIALIZED (SELECT cid, ts AS cts, {S.tokens_sql('subject')} AS toks, files FROM commits),
+    "past_commits": f"""WITH {_CM}, ca AS (SELECT cid AS qid, ts, subject AS query FROM commits WHERE cid % 50 = 0), dt AS MATERIALIZED (SELECT cid, ts AS cts, {S.tokens_sql('subject')} AS toks, files FROM commits),
 te AS (SELECT DISTINCT qid, ts, unnest({S.tokens_sql('query')}) AS term FROM ca), tf AS (SELECT cid, cts, len, term, count(*) AS f FROM (SELECT cid, cts, len(toks) AS len, unnest(toks) AS term FROM dt) GROUP BY ALL),
 st AS (SELECT qid, count(*) AS n, avg(len(toks)) AS avg_len FROM ca JOIN dt ON cts < ts GROUP BY qid), me AS (SELECT te.qid, tf.*, count(*) OVER (PARTITION BY te.qid, term) AS df FROM te JOIN tf USING (term) WHERE cts < ts),
 sc AS (SELECT qid, cid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM me JOIN st USING (qid) GROUP BY ALL),
@@ -280,7 +263,7 @@ tp AS (SELECT * FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY
     "throttled_hint": f"""WITH RECURSIVE {_EV}, p AS MATERIALIZED (SELECT root, ts, event_id, row_number() OVER (PARTITION BY root ORDER BY ts, event_id) AS n FROM ev e WHERE event = 'call' AND NOT EXISTS (SELECT 1 FROM ev q WHERE q.root = e.root AND q.event = 'ready' AND q.ts <= e.ts AND e.ts < q.ts + INTERVAL 300 MINUTE)),
 f AS (SELECT root, 0::BIGINT AS n, NULL::TIMESTAMP AS last, NULL::BIGINT AS id FROM (SELECT DISTINCT root FROM p) UNION ALL SELECT f.root, p.n, CASE WHEN last IS NULL OR p.ts >= last + INTERVAL 1440 MINUTE THEN p.ts ELSE last END, CASE WHEN last IS NULL OR p.ts >= last + INTERVAL 1440 MINUTE THEN p.event_id END FROM f JOIN p ON p.root = f.root AND p.n = f.n + 1)
 SELECT root, id AS event_id FROM f WHERE id IS NOT NULL""",
-    "usage_attribution": """WITH w AS (SELECT conv_id AS session, turn AS n, role, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS ws FROM conversations), c AS (SELECT session, n, unnest(ws[1:12]) AS path, generate_subscripts(ws[1:12], 1) AS i FROM w WHERE role = 'user'),
+    "usage_attribution": """WITH w AS (SELECT conv_id AS session, turn AS n, role, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS ws FROM conversations), c AS (SELECT session, n, unnest(ws) AS path, generate_subscripts(ws, 1) AS i FROM w WHERE role = 'user'),
 s AS (SELECT session, n, path, min(i) AS i FROM c GROUP BY ALL), e AS (SELECT session, path, max(n) AS m FROM (SELECT session, n, unnest(ws) AS path FROM w WHERE role = 'assistant') GROUP BY ALL)
 SELECT s.session, s.n AS call, string_agg(path, ' ' ORDER BY i) AS shown, coalesce(string_agg(path, ' ' ORDER BY i) FILTER (m > s.n), '') AS used FROM s LEFT JOIN e USING (session, path) GROUP BY s.session, s.n""",
     "idle_sessions": f"WITH {_EV}, g AS (SELECT *, lag(ts) OVER (PARTITION BY root ORDER BY ts, event_id) AS b FROM ev), s AS (SELECT *, sum(CASE WHEN b IS NULL OR ts >= b + INTERVAL 600 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY ts, event_id) AS s FROM g) SELECT root, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY root, s",
@@ -292,6 +275,3 @@ f AS (SELECT key, 0::BIGINT AS n, NULL::TIMESTAMP AS last, NULL::BIGINT AS id FR
 SELECT key, id AS event_id FROM f WHERE id IS NOT NULL""",
     "json_props": "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS total, count(props->>'k') AS n FROM events GROUP BY 1",
 }
-ORACLE_SQL["bootstrap_ci_all"] = ORACLE_SQL["bootstrap_ci"].replace(" WHERE c_custkey < 50", "")
-ORACLE_SQL["judge_scores_all"] = ORACLE_SQL["judge_scores"].replace(" WHERE event_id % 10 = 0", "")
-ORACLE_SQL["past_commits_50"] = ORACLE_SQL["past_commits"].replace("cid % 1000 = 7", "cid % 50 = 0")
