@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import CODE_EXT, MD_EXT, basename, dirname, identifiers, normpath, plain_word, suffix
+from quarry.sources.tables import checkpointed
 
 MAX_REFS, MAX_DEFS, MIN_NAME = 200, 3, 4
 DAMPING, ITERATIONS, SEEDS = 0.85, 30, 50
@@ -109,7 +110,10 @@ def neighbours(chunks: DataFrame, refs: DataFrame, files: DataFrame) -> DataFram
 
 
 def adjacency(chunks: DataFrame, refs: DataFrame | None = None, files: DataFrame | None = None, siblings: bool = False) -> DataFrame:
-    """Row-normalised links src, dst, w: references with their weight; a file's chunks and linked files' heads as stars from each first chunk."""
+    """Row-normalised links src, dst, w: references with their weight; a file's chunks and linked files' heads as stars from each first chunk.
+
+    Written down once: neighbour counts, hubs and rank all read it.
+    """
     parts = []
     if refs is not None:
         parts.append(refs.select(F.col("i").alias("x"), F.col("j").alias("y"), F.col("w").cast("double").alias("w")))
@@ -124,7 +128,7 @@ def adjacency(chunks: DataFrame, refs: DataFrame | None = None, files: DataFrame
         both = both.unionByName(p)
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "w"))
     summed = both.groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("w").alias("w"))
-    return summed.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
+    return checkpointed(summed.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))))
 
 
 def nodes(chunks: DataFrame, adj: DataFrame) -> DataFrame:
@@ -188,8 +192,6 @@ def _ppr_arrays(start: DataFrame, adj: DataFrame, blocked: DataFrame | None, dam
 
 
 def _ppr_joins(start: DataFrame, adj: DataFrame, blocked: DataFrame | None, damping: float, iterations: int, every: int = 5) -> DataFrame:
-    from quarry.sources.tables import checkpointed
-
     start = checkpointed(start)
     links = adj if blocked is None else adj.join(blocked.select(F.col("idx").alias("src")), "src", "left_anti")
     links = checkpointed(links.select("src", "dst", "w"))
@@ -317,8 +319,6 @@ def shortest_hops(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> D
 
 def _reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """root, at, hops, and the smallest neighbour one hop nearer to the root (null for the root)."""
-    from quarry.sources.tables import checkpointed
-
     links = checkpointed(both_ways(edges))
     seen = checkpointed(sources.select(F.col("path").alias("root"), F.col("path").alias("at"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("before")).distinct())
     frontier, k = seen, 0
@@ -335,8 +335,6 @@ def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Of equal routes the one whose last steps come from the smallest neighbours. All pairs walk back together, one hop in each round.
     """
-    from quarry.sources.tables import checkpointed
-
     seen = checkpointed(_reached(edges, pairs.select(F.col("src").alias("path"))))
     step = seen.select(F.col("root").alias("r"), F.col("at").alias("x"), "before")
     walk = pairs.join(seen.select(F.col("root").alias("src"), F.col("at").alias("dst"), "hops"), ["src", "dst"]).select("qid", "src", "dst", "hops", F.array("dst").alias("route"))
@@ -388,8 +386,6 @@ def _modularity_level(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, orde
 
 def _level_by_joins(links: DataFrame, total: float) -> DataFrame:
     """The same level over a table of links (src, dst, weight): path, label."""
-    from quarry.sources.tables import checkpointed
-
     nodes = checkpointed(links.groupBy(F.col("src").alias("path")).agg(F.sum("weight").alias("k")))
     label = best = nodes.select("path", "k", F.col("path").alias("label"))
     apart = links.where("src <> dst")
@@ -422,8 +418,6 @@ def communities(edges: DataFrame, node: DataFrame, most: int = LOUVAIN_EDGES) ->
     algorithm: while a level has at most `most` links its rounds run over arrays, else as joins, and both give the same groups for
     weights that are whole numbers. A null weight counts as 0.
     """
-    from quarry.sources.tables import checkpointed
-
     links = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight")).where("weight > 0")
     links = checkpointed(links.union(links.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     named = node.select("path", F.col("path").alias("label")).distinct()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import checkpointed
+
 RRF_K = 60
 HEAD, LEXICAL_SHARE, DENSE_KEEP = 50, 0.2, 5
 STOP_MARGIN = 50
+#: Chunks that still fit which are folded at once for a query.
+BUDGET_BLOCK = 2000
 
 
 def _number(*order: Column | str, by: tuple[str, ...] = ("qid",)) -> Column:
@@ -93,25 +99,36 @@ def alternate(base: DataFrame, side: DataFrame) -> DataFrame:
     return both.groupBy("qid", "idx").agg(F.min("at").alias("at")).select("qid", "idx", _number("at").alias("pos"))
 
 
-def select_budget(ranking: DataFrame, chunks: DataFrame, budget: Column | int, stop: int = STOP_MARGIN) -> DataFrame:
+def select_budget(ranking: DataFrame, chunks: DataFrame, budget: Column | int, stop: int = STOP_MARGIN, block: int = BUDGET_BLOCK) -> DataFrame:
     """Greedy choice in order under a token budget: what doesn't fit is skipped; a pick that leaves fewer than `stop` tokens is the last.
 
-    Skips make the sum order-dependent, so each query is one fold over (pos, tokens, idx); chunks larger than the whole budget are
-    dropped before. ranking may hold its own budget column. Returns qid, idx, pos (numbered anew), tokens.
+    Skips make the sum order-dependent, so the next `block` chunks of each query that still fit are folded in one row; what is left of the
+    budget then rules out most of the rest, and so on until nothing fits. What never fits is never gathered, and a chunk that doesn't fit once
+    never will, as the budget only shrinks. ranking may hold its own budget column. Returns qid, idx, pos (numbered anew), tokens.
     """
     r = ranking.withColumn("_budget", F.lit(budget) if isinstance(budget, int) else budget)
-    r = r.join(chunks.select("idx", "tokens"), "idx").where(F.col("tokens") <= F.col("_budget"))
-    held = r.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens", "idx"))).alias("all"), F.max("_budget").cast("long").alias("b"))
-    start = F.struct(F.col("b").alias("left"), F.lit(False).alias("done"), F.array().cast("array<struct<pos:int,tokens:int,idx:bigint>>").alias("got"))
+    r = checkpointed(r.join(chunks.select("idx", "tokens"), "idx").where(F.col("tokens") <= F.col("_budget")).select("qid", "idx", F.col("pos").cast("int").alias("pos"), F.col("tokens").cast("int").alias("tokens"), F.col("_budget").cast("long").alias("_budget")))
+    item = "struct<pos:int,tokens:int,idx:bigint>"
 
     def take(s: Column, x: Column) -> Column:
         fits = ~s["done"] & (x["tokens"] <= s["left"])
         left = s["left"] - x["tokens"]
-        one = F.struct(x["pos"].cast("int").alias("pos"), x["tokens"].cast("int").alias("tokens"), x["idx"].cast("long").alias("idx"))
-        return F.struct(F.when(fits, left).otherwise(s["left"]).alias("left"), F.when(fits, left < stop).otherwise(s["done"]).alias("done"), F.when(fits, F.concat(s["got"], F.array(one))).otherwise(s["got"]).alias("got"))
-
-    picked = held.select("qid", F.posexplode(F.aggregate("all", start, take, lambda s: s["got"])).alias("pos", "x"))
-    return picked.select("qid", F.col("x.idx").alias("idx"), "pos", F.col("x.tokens").alias("tokens"))
+        return F.struct(F.when(fits, left).otherwise(s["left"]).alias("left"), F.when(fits, left < stop).otherwise(s["done"]).alias("done"), F.when(fits, F.concat(s["got"], F.array(x.cast(item)))).otherwise(s["got"]).alias("got"))
+
+    state = r.groupBy("qid").agg(F.max("_budget").alias("left")).select("qid", "left", F.lit(-1).alias("at"))
+    picked = []
+    while True:
+        fits = r.drop("_budget").join(state, "qid").where((F.col("pos") > F.col("at")) & (F.col("tokens") <= F.col("left")))
+        head = fits.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).where(F.col("n") <= block)
+        held = head.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens", "idx"))).alias("all"), F.max("left").alias("left"), F.max("pos").alias("at"))
+        start = F.struct(F.col("left"), F.lit(False).alias("done"), F.array().cast(f"array<{item}>").alias("got"))
+        folded = checkpointed(held.select("qid", "at", (F.size("all") < block).alias("last"), F.aggregate("all", start, take).alias("s")))
+        picked.append(folded.select("qid", F.explode("s.got").alias("x")))
+        state = folded.where(~F.col("s.done") & ~F.col("last")).select("qid", F.col("s.left").alias("left"), "at")
+        if state.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, picked)
+    return every.select("qid", F.col("x.idx").alias("idx"), _number("x.pos").alias("pos"), F.col("x.tokens").alias("tokens"))
 
 
 def select_channel(side: DataFrame, main: DataFrame, chunks: DataFrame, budget: int, share: float) -> DataFrame:
