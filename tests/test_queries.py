@@ -47,7 +47,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", ["ref_edges_long", "bootstrap_ci", "judge_scores", "past_commits", "resolve_name", "explain_users", "shortest_path", "usage_attribution"])
 def test_no_subsets(name):
     """Searches ask the ids divisible by 50; nothing else is a part of its table."""
     sql = entry.oracle_sql()[name]
