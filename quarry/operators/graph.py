@@ -188,7 +188,8 @@ def _ppr_arrays(start: DataFrame, adj: DataFrame, blocked: DataFrame | None, dam
         return pd.DataFrame({"qid": key[0], "idx": name[keep], "pi": pi[keep]})
 
     kind = dict(start.dtypes)["qid"]
-    return start.groupBy("qid").applyInPandas(run, f"qid {kind}, idx long, pi double")
+    # seeds are few bytes and much work: with a given number of partitions they aren't merged into one task
+    return start.repartition(adj.sparkSession.sparkContext.defaultParallelism * 2, "qid").groupBy("qid").applyInPandas(run, f"qid {kind}, idx long, pi double")
 
 
 def _ppr_joins(start: DataFrame, adj: DataFrame, blocked: DataFrame | None, damping: float, iterations: int, every: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ from quarry.operators import lexical
 from quarry.operators import ranking as R
 from quarry.plans import standin as S
 from quarry.plans.search_queries import _F, SEED_SQL, _dense, fold_sql
+from quarry.sources.tables import checkpointed
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def hub_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _seed_scores(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top_k(lexical.bm25(S.chunks(spark, d), S.queries(spark, d)), G.SEEDS).select("qid", "idx", "score")
+    return checkpointed(lexical.top_k(lexical.bm25(S.chunks(spark, d), S.queries(spark, d)), G.SEEDS).select("qid", "idx", "score"))
 
 
 def _ranked(spark: SparkSession, d: str, blocked: bool = False, beta: float = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import dense, lexical
 from quarry.operators import ranking as R
 from quarry.plans import standin as S
+from quarry.sources.tables import checkpointed
 
 
 def _bm25(spark: SparkSession, d: str, drop: bool = False) -> DataFrame:
@@ -57,9 +58,13 @@ def rrf_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    c = S.chunks(spark, d)
-    best = lexical.best_per_term(c, S.queries(spark, d), True)
-    return R.seed_filter(_fused(spark, d), _bm25(spark, d), _by_vector(spark, d), c.select("idx", F.substring_index("symbol", "~", 1).alias("label")), best)
+    c, q = S.chunks(spark, d), S.queries(spark, d)
+    # one table of weights serves the scores of all terms and the best chunk of those that aren't stopwords
+    terms = lexical.query_terms(q)
+    weights = checkpointed(lexical.Index(c, terms).weights())
+    lex, dense_pos = checkpointed(lexical.scores(weights, terms)), checkpointed(_by_vector(spark, d))
+    best = lexical.best_of_terms(weights, lexical.query_terms(q, True))
+    return R.seed_filter(R.rrf(_full(spark, d, lex), dense_pos), lex, dense_pos, c.select("idx", F.substring_index("symbol", "~", 1).alias("label")), best)
 
 
 def seed_filter(spark: SparkSession, d: str) -> DataFrame:

@@ -68,9 +68,9 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of chunks: those whose id a document has."""
     ids = table(spark, d, "documents").select(F.col("doc_id").alias("idx"))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec")).join(ids, "idx", "left_semi")
+    return spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))).join(ids, "idx", "left_semi")
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    v = spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")))
     return v.join(queries(spark, d).select("qid"), "qid", "left_semi")
