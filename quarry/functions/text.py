@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.stemming import stemmed
+
 # Suffix classes, query stopwords (English and Russian), test and generated globs, default excludes.
 CODE_EXT = (".dart", ".ts", ".tsx", ".js", ".jsx", ".py", ".kt", ".swift", ".astro")
 MD_EXT = (".md", ".mdx")
@@ -44,10 +46,11 @@ def tokenize(text: Column | str) -> Column:
     return F.when(text.rlike(f"{CAMEL}|İ"), F.flatten(F.transform(words, split))).otherwise(plain)
 
 
-def query_tokens(text: Column | str, drop_stopwords: bool = False) -> Column:
-    """Tokens of a query, in order and with repeats; stopwords are matched as surface forms."""
+def query_tokens(text: Column | str, drop_stopwords: bool = False, stem: bool = False) -> Column:
+    """Tokens of a query, in order and with repeats; stopwords are matched as surface forms, stems are taken after."""
     tokens = tokenize(text)
-    return F.filter(tokens, lambda t: ~t.isin(*STOPWORDS)) if drop_stopwords else tokens
+    tokens = F.filter(tokens, lambda t: ~t.isin(*STOPWORDS)) if drop_stopwords else tokens
+    return stemmed(tokens) if stem else tokens
 
 
 def identifiers(text: Column | str) -> Column:

@@ -15,6 +15,11 @@ def last_event(events: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return events.groupBy(*keys).agg(F.max(whole).alias("e")).select(*keys, "e.*")
 
 
+def of_roots(events: DataFrame, roots: DataFrame, key: str = "root") -> DataFrame:
+    """The events whose root is one of `roots` (column root), however either is capitalised."""
+    return events.join(roots.select(F.lower("root").alias("_root")).distinct(), F.lower(F.col(key).cast("string")) == F.col("_root"), "left_semi")
+
+
 def since_last_start(events: DataFrame, key: str = "root", kind: str = "event", ts: str = "ts") -> DataFrame:
     """Each event joined to its key's last start at or before it: adds started and, since then, the event's number."""
     own = Window.partitionBy(key).orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -131,6 +131,12 @@ def adjacency(chunks: DataFrame, refs: DataFrame | None = None, files: DataFrame
     return checkpointed(summed.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))))
 
 
+def graph_stats(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: file links, reference links, files with a link of their own."""
+    ends = files.select(F.explode(F.array("a", "b")).alias("path"))
+    return files.agg(F.count("*").alias("file_edges")).crossJoin(refs.agg(F.count("*").alias("ref_edges"))).crossJoin(ends.agg(F.countDistinct("path").alias("linked_files")))
+
+
 def nodes(chunks: DataFrame, adj: DataFrame) -> DataFrame:
     """idx and cnt, the number of neighbours; a chunk without any counts 1."""
     cnt = adj.groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("cnt"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.stemming import stemmed
 from quarry.functions.text import query_tokens, tokenize
 from quarry.sources.tables import checkpointed
 
@@ -16,9 +17,9 @@ def lexical_text() -> Column:
     return F.concat_ws(" ", "path", "symbol", "text")
 
 
-def query_terms(queries: DataFrame, drop_stopwords: bool = False) -> DataFrame:
+def query_terms(queries: DataFrame, drop_stopwords: bool = False, stem: bool = False) -> DataFrame:
     """Distinct terms of each query: qid, term."""
-    return queries.select("qid", F.explode(F.array_distinct(query_tokens("query", drop_stopwords))).alias("term"))
+    return queries.select("qid", F.explode(F.array_distinct(query_tokens("query", drop_stopwords, stem))).alias("term"))
 
 
 #: A token that no text has: each chunk gets it once, so that lengths and term counts come from one table.
@@ -32,8 +33,9 @@ class Index:
     their mean length, and the terms' frequencies.
     """
 
-    def __init__(self, chunks: DataFrame, terms: DataFrame, body: Column | None = None):
-        docs = chunks.select("idx", F.concat(tokenize(lexical_text() if body is None else body), F.array(F.lit(_MARK))).alias("tokens"))
+    def __init__(self, chunks: DataFrame, terms: DataFrame, body: Column | None = None, stem: bool = False):
+        tokens = tokenize(lexical_text() if body is None else body)
+        docs = chunks.select("idx", F.concat(stemmed(tokens) if stem else tokens, F.array(F.lit(_MARK))).alias("tokens"))
         occurrences = docs.select("idx", (F.size("tokens") - 1).alias("len"), F.explode("tokens").alias("term"))
         asked = terms.select("term").union(chunks.sparkSession.range(1).select(F.lit(_MARK))).distinct()
         held = checkpointed(occurrences.join(asked, "term", "left_semi").groupBy("term", "idx", "len").agg(F.count("*").alias("f")))
@@ -50,14 +52,14 @@ class Index:
         return self.tf.join(self.terms, "term").select("term", "idx", (F.col("idf") * F.col("f") * (K1 + 1) / norm).alias("w"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, drop_stopwords: bool = False, body: Column | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, drop_stopwords: bool = False, body: Column | None = None, stem: bool = False) -> DataFrame:
     """qid, idx, score of all chunks with a positive score. Scores are rounded to 9 digits, so equal texts tie exactly.
 
     Weights are dealt out by chunk before they meet the queries: there are far fewer of them than of (query, chunk, term), and each sum
     is then made where its chunk is, with no further exchange.
     """
-    terms = query_terms(queries, drop_stopwords)
-    return scores(Index(chunks, terms, body).weights(), terms)
+    terms = query_terms(queries, drop_stopwords, stem)
+    return scores(Index(chunks, terms, body, stem).weights(), terms)
 
 
 def scores(weights: DataFrame, terms: DataFrame) -> DataFrame:

@@ -144,3 +144,19 @@ def gate(fused: DataFrame, decisions: DataFrame, k: int) -> DataFrame:
     """Queries whose fused top k holds a decision chunk: qid, open."""
     hit = fused.where(F.col("pos") < k).join(decisions.select("idx", F.lit(1).alias("hit")), "idx", "left")
     return hit.groupBy("qid").agg(F.max(F.coalesce("hit", F.lit(0))).cast("boolean").alias("open"))
+
+
+def gate_counts(fused: DataFrame, decisions: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """How many queries a gate of each k lets through: k, n, open."""
+    first = fused.join(decisions.select("idx"), "idx", "left_semi").groupBy("qid").agg(F.min("pos").alias("first"))
+    seen = fused.select("qid").distinct().join(first, "qid", "left")
+    each = seen.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "first")
+    return each.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("first") < F.col("k")).alias("open"))
+
+
+def judge_head(ranking: DataFrame, chunks: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """The best chunk of each of the first k files goes to the front by falling judge score (none: 0; ties keep their order), all others follow in order: qid, idx, pos."""
+    head = first_per_path(ranking, chunks, k).select("qid", "idx", F.lit(True).alias("head")).join(scores.select("qid", "idx", "score"), ["qid", "idx"], "left")
+    held = ranking.select("qid", "idx", "pos").join(head, ["qid", "idx"], "left")
+    front = F.when(F.col("head"), F.coalesce("score", F.lit(0.0)))
+    return held.select("qid", "idx", _number(front.desc_nulls_last(), "pos").alias("pos"))

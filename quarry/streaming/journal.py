@@ -49,6 +49,37 @@ def throttled(prompts: DataFrame, key: str, cooldown_minutes: int = 10) -> DataF
     return timed.groupBy("key").applyInPandasWithState(run, "key long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def hints(events: DataFrame, key: str, quiet_minutes: int = 15, cooldown_minutes: int = 10, ttl: str | None = None) -> DataFrame:
+    """Prompts that get a hint, on a stream of prompts and calls: none within quiet_minutes after a call of the key, none within the cooldown after the last hint.
+
+    events: key (long), ts, event_id, is_call; prompts that want no hint are filtered before. The state of a key is the times of its last call and last hint;
+    with `ttl` milliseconds (as text) it is forgotten once no event came for so long. A call counts before a prompt of the same time.
+    """
+    quiet, step = quiet_minutes * 60_000_000, cooldown_minutes * 60_000_000
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        called, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(batches)).sort_values(["micros", "is_call", "event_id"], ascending=[True, False, True])
+        out = []
+        for t, event, is_call in zip(rows["micros"], rows["event_id"], rows["is_call"], strict=True):
+            if is_call:
+                called = int(t)
+            elif (called is None or t - called >= quiet) and (last is None or t - last >= step):
+                last = int(t)
+                out.append(int(event))
+        state.update((called, last))
+        if ttl is not None:
+            state.setTimeoutDuration(int(ttl))
+        yield pd.DataFrame({"key": [name[0]] * len(out), "event_id": out})
+
+    timed = events.select(F.col(key).cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("event_id").cast("long").alias("event_id"), "is_call")
+    forget = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout
+    return timed.groupBy("key").applyInPandasWithState(run, "key long, event_id long", "called long, last long", "append", forget)
+
+
 def refresh(chunks: DataFrame, store: str, checkpoint: str, encoder: Encoder | None = None):
     """Embed what new chunk files bring and the store lacks, then stop: a streaming query to wait for. Replays append nothing new."""
 
