@@ -53,7 +53,8 @@ def hints(events: DataFrame, key: str, quiet_minutes: int = 15, cooldown_minutes
     """Prompts that get a hint, on a stream of prompts and calls: none within quiet_minutes after a call of the key, none within the cooldown after the last hint.
 
     events: key (long), ts, event_id, is_call; prompts that want no hint are filtered before. The state of a key is the times of its last call and last hint;
-    with `ttl` milliseconds (as text) it is forgotten once no event came for so long. A call counts before a prompt of the same time.
+    with `ttl` milliseconds (as text) it is forgotten once no event came for so long
+    (such a query runs until stopped: Spark always sees another batch coming, `availableNow` included). A call counts before a prompt of the same time.
     """
     quiet, step = quiet_minutes * 60_000_000, cooldown_minutes * 60_000_000
 

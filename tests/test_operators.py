@@ -229,10 +229,10 @@ def test_notes_and_staleness(spark, tmp_path):
 
     from quarry.sources.records import summary, supersessions
 
-    name = tools.add_note(str(tmp_path), "Use Arrow", "Because.", "decision", ["x"], ["docs/adr/1.md"], day=datetime.date(2024, 1, 2))
+    name = tools.add_note(str(tmp_path), "Use Arrow", "Because.", "decision", ["x"], ["docs/adr/1.md"], now=datetime.datetime(2024, 1, 2))
     assert name.startswith("docs/notes/2024-01-02-use-arrow-")
     with pytest.raises(FileExistsError):
-        tools.add_note(str(tmp_path), "Use Arrow", "Because.", day=datetime.date(2024, 1, 2))
+        tools.add_note(str(tmp_path), "Use Arrow", "Because.", "decision", ["x"], ["docs/adr/1.md"], now=datetime.datetime(2024, 1, 2))
     n = spark.createDataFrame([(name, (tmp_path / name).read_text()), ("b.md", "# Head line\ntext"), ("c.md", "summary: 'quoted'\n")], "path string, text string")
     assert {r.path: r.s for r in n.select("path", summary(F.col("text")).alias("s")).collect()} == {name: "Use Arrow", "b.md": "Head line", "c.md": "quoted"}
     old = supersessions(n)
