@@ -297,3 +297,28 @@ def test_run_comparison_and_gold(spark):
     assert (r.n, r.wins, r.losses) == (3, 2, 1) and abs(r["diff"] - 1 / 3) < 1e-12
     assert evaluate.best_of(pc).agg(F.sum("score")).first()[0] == 2.5
     assert evaluate.summary(pc).count() == 2
+
+
+def test_past_commits_in_blocks(spark, monkeypatch):
+    """Blocks in which few commits are scored give what scoring every earlier commit gives."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    subjects = [" ".join(["for", *rng.choice(words, 4), f"n{rng.integers(40)}"]) for _ in range(400)]
+    days = rng.integers(1, 60, 400).tolist()
+    commits = spark.createDataFrame([(i, days[i], s, [f"f{i}"]) for i, s in enumerate(subjects)], "cid long, ts long, subject string, files array<string>")
+    cases = commits.where("cid % 20 = 0").select(F.col("cid").alias("qid"), "ts", F.col("subject").alias("query"))
+    monkeypatch.setattr(history, "_COMMITS", 150)
+    got: dict[int, dict[str, float]] = {}
+    for r in history.past_commits(cases, commits, spark.createDataFrame([(f"f{i}",) for i in range(400)], "path string"), top=5).collect():
+        got.setdefault(r.qid, {})[r.path] = r.score
+    for q in range(0, 400, 20):
+        past = [(i, subjects[i].split()) for i in range(400) if days[i] < days[q]]
+        mean = sum(len(s) for _, s in past) / max(1, len(past))
+        score = {}
+        for t in set(subjects[q].split()):
+            df = sum(t in s for _, s in past)
+            for i, s in past:
+                if t in s:
+                    score[i] = score.get(i, 0.0) + np.log(1 + (len(past) - df + 0.5) / (df + 0.5)) * s.count(t) * 2.5 / (s.count(t) + 1.5 * (0.25 + 0.75 * len(s) / mean))
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:5]
+        assert got.get(q, {}) == {f"f{i}": pytest.approx(score[i], abs=1e-8) for i in best}
