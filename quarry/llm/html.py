@@ -1,12 +1,12 @@
-"""Main text of web pages: markup zones, and host suffix arrays for all that markup leaves open.
-
-A page's blocks are outside (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: gone), sure (in a text element
-inside an article or main element: they stay, also where articles share them) or undecided: straight in some container of the article, or
-anywhere in a page that marks no main text. The undecided blocks of a host's distinct pages are joined to token streams with a
-mark after each page. In the streams' suffix arrays, runs of at least RUN tokens are counted by the distinct pages that they occur on;
-the counts of all parts of a host are summed, so how its pages are dealt out changes nothing. Runs on LEAST_PAGES pages or more are
-boilerplate: tokens that they cover go, and the unique runs stay. Pages that are copies of each other count as one. Where a page marks a main text,
-what stands outside of that goes.
+"""Main text of web pages: host suffix arrays over all blocks of all pages, with markup zones as evidence.
+
+A page's blocks are marked (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: gone), sure (in a text element
+inside an article or main element) or undecided: straight in some container of the article, or anywhere in a page that marks no main text.
+Every page's blocks are joined to token streams with a mark after each stream, of which suffix arrays are built. Runs of at least RUN tokens are
+counted by the distinct pages of their host that they occur on; the counts of all arrays are united, so how pages are dealt out changes nothing.
+Runs that stand in undecided or marked blocks on LEAST_PAGES pages or more are boilerplate: undecided tokens that they cover go. Sure tokens go if a run
+covers them that is on so many pages in marked blocks (or outside of the main text) and in the sure blocks of at least half of the host's pages; what
+fewer articles share stays, even if adverts quote it. The unique runs stay. Pages that are copies of each other count as one. Where a page marks a main text, what stands outside of that goes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from quarry.llm.frames import Tables
 RUN = 8
 #: Distinct pages of a host that a run must occur on to be boilerplate.
 LEAST_PAGES = 3
-#: Bytes of undecided text that one suffix array holds, about.
+#: Characters that one suffix array holds, about.
 _STREAM_BYTES = 2 << 20
 
 # Elements and words of class, id and role that mark zones.
@@ -53,6 +54,8 @@ _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Kinds of blocks: SURE ones stay, LOOSE ones stand straight in a container of the main text, OPEN ones outside of any.
 SURE, LOOSE, OPEN = 0, 1, 2
+#: Where a run stands.
+UNDECIDED, MARKED, BESIDE = 0, 1, 2
 
 
 def _named_out(names: str, inner: bool) -> bool:
@@ -90,9 +93,16 @@ def _zone(name: str, rest: str, inner: bool) -> str:
 
 def blocks(page: str) -> tuple[list[str], list[int]]:
     """The blocks that aren't outside, in page order, with character references decoded and white space collapsed, and the kind of each."""
+    return zones(page)[:2]
+
+
+def zones(page: str) -> tuple[list[str], list[int], list[str]]:
+    """As blocks(), and the marked blocks: those outside."""
     found: list[str] = []
     kinds: list[int] = []
+    marked: list[str] = []
     held: list[str] = []
+    dropped: list[str] = []
     stack: list[tuple[str, str]] = []
     out = inner = texts = 0
 
@@ -103,6 +113,11 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
             if text:
                 found.append(text)
                 kinds.append((SURE if texts else LOOSE) if inner else OPEN)
+        if dropped:
+            text = " ".join(html.unescape("".join(dropped)).split())
+            dropped.clear()
+            if text:
+                marked.append(text)
 
     def pop() -> str:
         nonlocal out, inner, texts
@@ -126,16 +141,15 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            if not out:
-                held.append(page[at:])
+            (dropped if out else held).append(page[at:])
             break
-        if m.start() > at and not out:
-            held.append(page[at : m.start()])
+        if m.start() > at:
+            (dropped if out else held).append(page[at : m.start()])
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
-            if m[0].startswith("<![CDATA[") and not out:
-                held.append(html.escape(m[0][9:-3]))
+            if m[0].startswith("<![CDATA["):
+                (dropped if out else held).append(html.escape(m[0][9:-3]))
             continue
         ends = bool(m["end"] or m["end2"])
         if name in _SKIPPED:
@@ -168,7 +182,7 @@ def blocks(page: str) -> tuple[list[str], list[int]]:
             inner += zone == "main"
             texts += name in _TEXTS
     flush()
-    return found, kinds
+    return found, kinds, marked
 
 
 def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -206,11 +220,11 @@ def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarr
     return order, lcp
 
 
-def repeated_runs(blocks: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of `run` tokens of some pages, by their suffix array: the hash of each, and the number of pages that it is on."""
-    words = T.Units(*T.utf8(pa.array([" ".join(x) for x in blocks], pa.string())), T.SPACE_WORDS)
+def _grouped(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of `run` tokens of some texts, by their suffix array: the hash of each distinct run; for every run its number there and its text."""
+    words = T.Units(*T.utf8(pa.array(texts, pa.string())), T.SPACE_WORDS)
     hashes = words.hashes()
-    # a mark after each page that no other page has, so that no run crosses pages
+    # a mark after each text that no other has, so that no run crosses texts
     place = np.arange(len(words)) + words.row
     marks = words.base[1:] + np.arange(words.rows)
     stream, owner = np.zeros(len(words) + words.rows, np.int64), np.zeros(len(words) + words.rows, np.int64)
@@ -224,74 +238,129 @@ def repeated_runs(blocks: list[list[str]], run: int) -> tuple[np.ndarray, np.nda
     name[place[at]], whole[place[at]] = key, True
     group = np.cumsum(lcp < run)[whole[order]]
     order = order[whole[order]]
-    pairs = np.unique(np.stack([group, owner[order]], 1), axis=0) if len(order) else np.zeros((0, 2), np.int64)
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    return name[order[first]], np.unique(pairs[:, 0], return_counts=True)[1]
+    first = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+    return name[order[first]], np.cumsum(first) - 1, owner[order]
+
+
+def repeated_runs(blocks: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `run` tokens of some pages: the hash of each, and the number of pages that it is on."""
+    name, group, page = _grouped([" ".join(x) for x in blocks], run)
+    pairs = np.unique(np.stack([group, page], 1), axis=0)
+    return name, np.bincount(pairs[:, 0], minlength=len(name))
 
 
-def unique_runs(blocks: list[str], kinds: list[int], covered: np.ndarray) -> str:
-    """A page's text without the covered tokens of undecided blocks; what stands outside of a main text goes if there is any."""
-    main, k, out = any(x != OPEN for x in kinds), 0, []
+def unique_runs(blocks: list[str], kinds: list[int], covered: np.ndarray, sure: np.ndarray) -> str:
+    """A page's text without the covered tokens of undecided and of sure blocks; what stands outside of a main text goes if there is any."""
+    main, at, out = any(x != OPEN for x in kinds), [0, 0], []
     for text, kind in zip(blocks, kinds, strict=True):
-        words = text.split(" ") if kind != SURE else []
-        own = covered[k : k + len(words)]
-        k += len(words)
-        if kind == SURE:
-            out.append(text)
-        elif not (main and kind == OPEN):
-            out.append(" ".join(w for w, gone in zip(words, own.tolist(), strict=True) if not gone))
+        words, of = text.split(" "), int(kind == SURE)
+        own = (covered, sure)[of][at[of] : at[of] + len(words)]
+        at[of] += len(words)
+        if not (main and kind == OPEN):
+            out.append(" ".join(w for w, gone in zip(words, own.tolist(), strict=True) if not gone) if own.any() else text)
     return "\n".join(x for x in out if x)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page with its text, if the markup decides about all of it, or else its blocks and their kinds."""
+    """Each page's blocks, their kinds and its marked blocks."""
     for batch in T.chunks(batches, "html"):
-        text, held, kinds = [], [], []
-        for page in batch.column("html"):
-            found, kind = blocks(page.as_py() or "")
-            decided = LOOSE not in kind and (SURE in kind or OPEN not in kind)
-            text.append("\n".join(x for x, k in zip(found, kind, strict=True) if k == SURE) if decided else None)
-            held.append(None if decided else found)
-            kinds.append(None if decided else kind)
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(text, pa.string()), pa.array(held, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], ["page_id", "url", "host", "text", "blocks", "kinds"])
+        held, kinds, marked = zip(*(zones(page.as_py() or "") for page in batch.column("html")), strict=True)
+        columns = [pa.array(held, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(marked, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "blocks", "kinds", "marked"])
+
+
+def _streams(batch: pa.RecordBatch) -> tuple[list[str], list[str]]:
+    """Of each page, its undecided and its sure tokens. Where all of the main text is sure, what stands outside of that goes, too, and is not undecided."""
+    pages = list(zip(batch.column("blocks").to_pylist(), batch.column("kinds").to_pylist(), strict=True))
+    undecided = [" ".join(x for x, k in zip(held, kinds, strict=True) if k != SURE) if LOOSE in kinds or SURE not in kinds else "" for held, kinds in pages]
+    return undecided, [" ".join(x for x, k in zip(held, kinds, strict=True) if k == SURE) for held, kinds in pages]
+
 
+def _beside(batch: pa.RecordBatch) -> list[str]:
+    """Of each page, the tokens outside of a main text that is all sure."""
+    pages = zip(batch.column("blocks").to_pylist(), batch.column("kinds").to_pylist(), strict=True)
+    return [" ".join(x for x, k in zip(held, kinds, strict=True) if k == OPEN) if SURE in kinds and LOOSE not in kinds else "" for held, kinds in pages]
 
-def _undecided(batch: pa.RecordBatch) -> list[list[str]]:
-    return [[x for x, k in zip(held, kinds, strict=True) if k != SURE] for held, kinds in zip(batch.column("blocks").to_pylist(), batch.column("kinds").to_pylist(), strict=True)]
 
+def _in(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether a run may be among those of a bitmap: others than those are, too, by chance."""
+    return bits[name >> np.uint64(44)] >> (name & np.uint64(63)) & np.uint64(1) != 0
 
-def _runs(run: int):
-    """For each host of some pages, in suffix arrays of bounded size: the runs and the number of pages that have them."""
 
-    def of(host: str, held: list[list[str]]) -> pa.RecordBatch:
-        name, pages = repeated_runs(held, run)
-        return pa.RecordBatch.from_arrays([pa.array([host] * len(name), pa.string()), pa.array(name.view(np.int64)), pa.array(pages, pa.int64())], ["host", "run", "pages"])
+def _runs(run: int, sure: bool, most: int | None = None, bits: Broadcast | None = None):
+    """By suffix arrays of bounded size, each run of a host with distinct pages that have it, `most` of an array, and where: sure, or else in UNDECIDED or MARKED blocks or BESIDE the main text."""
+
+    def of(texts: list[str], host: list[str], content: list[int], zone: list[int]) -> pa.RecordBatch:
+        name, group, text = _grouped(texts, run)
+        if bits is not None:
+            on = _in(bits.value, name)[group]
+            group, text = group[on], text[on]
+        hosts, number = np.unique(np.array(host, object), return_inverse=True)
+        met = np.unique(np.stack([group, number[text], np.array(zone, np.int64)[text], np.array(content, np.int64)[text]], 1), axis=0)
+        first = np.flatnonzero(np.append(True, (met[1:, :3] != met[:-1, :3]).any(1))[: len(met)])
+        place = np.arange(len(met)) - np.repeat(first, np.diff(np.append(first, len(met))))
+        met = met[place < (most or len(met))]
+        return pa.RecordBatch.from_arrays([pa.array(hosts[met[:, 1]], pa.string()), pa.array(name[met[:, 0]].view(np.int64)), pa.array(met[:, 3]), pa.array(met[:, 2].astype(np.int32))], ["host", "run", "content", "zone"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, size = None, [], 0
+        held, size = [], 0
         for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), _undecided(batch), strict=True):
-                if held and (host != last or size > _STREAM_BYTES):
-                    yield of(last, held)
-                    held, size = [], 0
-                last = host
-                held.append(page)
-                size += sum(map(len, page))
+            streams = [(UNDECIDED, _streams(batch)[sure])]
+            if not sure:
+                streams += [(MARKED, [" ".join(x) for x in batch.column("marked").to_pylist()]), (BESIDE, _beside(batch))]
+            keys = list(zip(batch.column("host").to_pylist(), batch.column("content").to_pylist(), strict=True))
+            for zone, texts in streams:
+                for (host, content), text in zip(keys, texts, strict=True):
+                    if not text:
+                        continue
+                    if held and size > _STREAM_BYTES:
+                        yield of(*map(list, zip(*held, strict=True)))
+                        held, size = [], 0
+                    held.append((text, host, content, zone))
+                    size += len(text)
         if held:
-            yield of(last, held)
+            yield of(*map(list, zip(*held, strict=True)))
 
     return runs
 
 
-def _places(run: int):
-    """Each page's runs and where they begin."""
+def _windows(batch: pa.RecordBatch, run: int, bits: tuple[Broadcast, Broadcast]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For undecided and for sure tokens: the runs that may be boilerplate, their page in the batch, and where in its stream they begin."""
+    out = []
+    for texts, own in zip(_streams(batch), bits, strict=True):
+        words = T.Units(*T.utf8(pa.array(texts, pa.string())), T.SPACE_WORDS)
+        key, at = T.windows(words.hashes(), words.base, run)
+        on = _in(own.value, key)
+        row = words.row[at[on]]
+        out.append((key[on], row, at[on] - words.base[row]))
+    return out
+
+
+def _settled(run: int, bits: tuple[Broadcast, Broadcast]):
+    """Each page with its text, if none of its runs is boilerplate, or else with its blocks and their kinds."""
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, kinds = batch.column("blocks").to_pylist(), batch.column("kinds").to_pylist()
+            open_ = np.zeros(batch.num_rows, bool)
+            for _, row, _ in _windows(batch, run, bits):
+                open_[row] = True
+            none = np.zeros(0, bool)
+            text = [None if o else unique_runs(x, k, none, none) for o, x, k in zip(open_.tolist(), held, kinds, strict=True)]
+            left = [pa.array([x if o else None for o, x in zip(open_.tolist(), values, strict=True)], kind) for values, kind in ((held, pa.list_(pa.string())), (kinds, pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "content")), pa.array(text, pa.string()), *left], ["page_id", "url", "host", "content", "text", "blocks", "kinds"])
+
+    return settled
+
+
+def _places(run: int, bits: tuple[Broadcast, Broadcast]):
+    """Each page's runs that may be boilerplate, whether they stand in its sure tokens, and where they begin."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = T.Units(*T.utf8(pa.array([" ".join(x) for x in _undecided(batch)], pa.string())), T.SPACE_WORDS)
-            key, at = T.windows(words.hashes(), words.base, run)
-            row = words.row[at]
-            yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(row)), batch.column("content").take(pa.array(row)), pa.array(key.view(np.int64)), pa.array((at - words.base[row]).astype(np.int32))], ["host", "content", "run", "at"])
+            for k, (key, row, at) in enumerate(_windows(batch, run, bits)):
+                own = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("host").take(own), batch.column("content").take(own), pa.array(key.view(np.int64)), pa.array([k == 1] * len(row), pa.bool_()), pa.array(at.astype(np.int32))], ["host", "content", "run", "sure", "at"])
 
     return places
 
@@ -300,16 +369,27 @@ def _cleared(run: int):
     def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for held, kinds, own, at in zip(batch.column("blocks").to_pylist(), batch.column("kinds").to_pylist(), _undecided(batch), batch.column("at").to_pylist(), strict=True):
-                covered = np.zeros(sum(x.count(" ") + 1 for x in own) + run, bool)
-                for k in range(run):
-                    covered[np.array(at or [], np.int64) + k] = True
-                out.append(unique_runs(held, kinds, covered))
+            for held, kinds, *begins in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "at", "sure_at")), strict=True):
+                covered = []
+                for at in begins:
+                    gone = np.zeros(sum(x.count(" ") + 1 for x in held) + run, bool)
+                    for k in range(run):
+                        gone[np.array(at or [], np.int64) + k] = True
+                    covered.append(gone)
+                out.append(unique_runs(held, kinds, *covered))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), pa.array(out, pa.string())], ["host", "content", "cleared"])
 
     return cleared
 
 
+def _bitmap(runs: DataFrame) -> Broadcast:
+    """A bit for each run in 8 MB: joins stay exact, this only spares most rows the journey to them."""
+    bits = np.zeros(1 << 20, np.uint64)
+    held = runs.select(F.shiftrightunsigned("run", 44).alias("at"), F.expr("shiftleft(1L, cast(run & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most 2**20 rows
+    bits[held["at"].to_numpy(np.int64)] = held["bit"].to_numpy(np.int64).view(np.uint64)
+    return runs.sparkSession.sparkContext.broadcast(bits)
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least: int = LEAST_PAGES) -> DataFrame:
     """One row per page: page_id, url, text (blocks joined by a line feed, empty if none), n_chars (code points).
 
@@ -319,19 +399,31 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    page, at_run, found = ["host", "content"], ["host", "run"], "host string, run long, content long, zone int"
+    # an array gives `least` pages of a run and zone at most
+    many = lambda on: F.size(F.collect_set(F.when(on, F.col("content")))) >= least
     with Tables(pages.sparkSession) as tables:
-        parsed = tables.keep(tables.write(rows.mapInArrow(_parsed, "page_id long, url string, host string, text string, blocks array<string>, kinds array<int>")))
-        decided = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
-        page = ["host", "content"]
-        left = parsed.where("text IS NULL").withColumn("content", F.xxhash64("blocks", "kinds"))
+        parsed = tables.write(rows.mapInArrow(_parsed, "page_id long, url string, host string, blocks array<string>, kinds array<int>, marked array<string>"))
+        keyed = parsed.withColumn("content", F.xxhash64("blocks", "kinds"))
+        outside = keyed.select(*page, "blocks", "kinds", "marked").mapInArrow(_runs(run, False, least), found).groupBy(*at_run)
+        outside = tables.write(outside.agg(many(F.col("zone") != BESIDE).alias("undecided"), many(F.col("zone") != UNDECIDED).alias("marked")).where("undecided OR marked"))
+        marked = outside.where("marked").select(*at_run)
+        inside = keyed.select(*page, "blocks", "kinds").mapInArrow(_runs(run, True, bits=_bitmap(marked)), found)
+        inside = inside.join(marked, at_run, "left_semi").groupBy(*at_run).agg(F.countDistinct("content").alias("n")).where(F.col("n") >= least)
+        inside = inside.join(keyed.groupBy("host").agg(F.countDistinct("content").alias("of")), "host").where("2 * n >= of")
+        gone = outside.where("undecided").select(*at_run, F.lit(False).alias("sure")).unionByName(inside.select(*at_run, F.lit(True).alias("sure")))
+        gone = tables.write(gone)
+        bits = _bitmap(gone.where("NOT sure")), _bitmap(gone.where("sure"))
+        settled = tables.keep(tables.write(keyed.select("page_id", "url", *page, "blocks", "kinds").mapInArrow(_settled(run, bits), "page_id long, url string, host string, content long, text string, blocks array<string>, kinds array<int>")))
+        tables.drop(parsed)
+        decided = settled.where("text IS NOT NULL").select("page_id", "url", "text")
+        left = settled.where("text IS NULL")
         if left.isEmpty():
             return decided.withColumn("n_chars", F.length("text").cast("long"))
-        distinct = tables.write(left.groupBy(*page).agg(F.first("blocks").alias("blocks"), F.first("kinds").alias("kinds")).sortWithinPartitions("host"))
-        counted = distinct.mapInArrow(_runs(run), "host string, run long, pages long").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
-        common = tables.write(counted.where(F.col("pages") >= least).select("host", "run"))
-        covered = distinct.mapInArrow(_places(run), "host string, content long, run long, at int").join(common, ["host", "run"], "left_semi")
-        covered = covered.groupBy(*page).agg(F.collect_list("at").alias("at"))
-        cleared = distinct.join(covered, page, "left").mapInArrow(_cleared(run), "host string, content long, cleared string")
+        once = tables.write(left.groupBy(*page).agg(F.first("blocks").alias("blocks"), F.first("kinds").alias("kinds")))
+        covered = once.mapInArrow(_places(run, bits), "host string, content long, run long, sure boolean, at int").join(gone, [*at_run, "sure"], "left_semi")
+        covered = covered.groupBy(*page).agg(*(F.collect_list(F.when(F.col("sure") == of, F.col("at"))).alias(name) for of, name in ((False, "at"), (True, "sure_at"))))
+        cleared = once.join(covered, page, "left").mapInArrow(_cleared(run), "host string, content long, cleared string")
         cleared = tables.keep(tables.write(cleared))
     met = left.select("page_id", "url", *page).join(cleared, page).select("page_id", "url", F.col("cleared").alias("text"))
     return decided.unionByName(met).withColumn("n_chars", F.length("text").cast("long"))

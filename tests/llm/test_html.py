@@ -117,3 +117,24 @@ def test_a_page_of_boilerplate_alone_is_empty(spark):
     rows = [(i, "http://h.org/", f"<div>{menu}</div><p>{'x' * i}</p>") for i in range(4)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "", 1: "x", 2: "xx", 3: "xxx"}
+
+
+def test_every_page_is_decided_by_the_arrays(spark):
+    """Boilerplate of a host goes from text elements of an article too, if markup elsewhere names it; what only articles share stays."""
+    notice = "sign up today for our letter and read the best stories each week"
+    shared = "a passage that several articles of this host quote word for word in full"
+    teaser = "a headline of more than eight words that menus of other pages repeat"
+    page = lambda i, *more: f"<nav>{'x' * i} {teaser}</nav><article><p>story {i} of {i * 7}</p><p>{shared}</p>{''.join(more)}</article>"
+    rows = [(i, "http://h.org/", page(i, f"<p>{notice}</p>") + f"<div class=newsletter>{notice}</div>") for i in range(4)]
+    rows += [(9, "http://h.org/t", page(9, f"<h2>{teaser}</h2>")), (10, "http://other.org/", page(10, f"<p>{notice}</p>"))]
+    # adverts may quote what some articles share: that stays, as long as it isn't in half of the host's pages
+    rows += [(20 + i, "http://p.org/", f"<div class=ad>{shared}</div><article><p>{i}</p>{f'<p>{shared}</p>' * (i < 3)}</article>") for i in range(8)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    quoted = {i: got.pop(i) for i in range(20, 28)}
+    assert quoted == {20 + i: f"{i}\n{shared}" if i < 3 else str(i) for i in range(8)}
+    want = {i: f"story {i} of {i * 7}\n{shared}" for i in range(4)}
+    assert got == want | {9: f"story 9 of 63\n{shared}\n{teaser}", 10: f"story 10 of 70\n{shared}\n{notice}"}
+    # marked blocks are evidence against undecided ones too
+    rows = [(i, "http://h.org/", f"<footer>{notice}</footer><article><p>{i}</p></article>") for i in range(3)] + [(5, "http://h.org/", f"<div>{notice}</div><div>own</div>")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "0", 1: "1", 2: "2", 5: "own"}
