@@ -29,6 +29,10 @@ RUN = 8
 LEAST_PAGES = 3
 #: Characters that one suffix array holds, about.
 _STREAM_BYTES = 2 << 20
+#: Contents that a task remembers, so as to look at copies once.
+_SEEN = 1 << 17
+#: Pages that are Python objects at once.
+_ROWS = 256
 
 # Elements and words of class, id and role that mark zones.
 _OUT = frozenset("nav footer aside form menu dialog button select option datalist label fieldset".split())
@@ -328,6 +332,8 @@ def _windows(batch: pa.RecordBatch, run: int, bits: tuple[Broadcast, Broadcast])
     """For undecided and for sure tokens: the runs that may be boilerplate, their page in the batch, and where in its stream they begin."""
     out = []
     for texts, own in zip(_streams(batch), bits, strict=True):
+        if not own.value.any():
+            texts = [""] * len(texts)
         words = T.Units(*T.utf8(pa.array(texts, pa.string())), T.SPACE_WORDS)
         key, at = T.windows(words.hashes(), words.base, run)
         on = _in(own.value, key)
@@ -336,28 +342,17 @@ def _windows(batch: pa.RecordBatch, run: int, bits: tuple[Broadcast, Broadcast])
     return out
 
 
-def _settled(run: int, bits: tuple[Broadcast, Broadcast]):
-    """Each page with its text, if none of its runs is boilerplate, or else with its blocks and their kinds."""
-
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, kinds = batch.column("blocks").to_pylist(), batch.column("kinds").to_pylist()
-            open_ = np.zeros(batch.num_rows, bool)
-            for _, row, _ in _windows(batch, run, bits):
-                open_[row] = True
-            none = np.zeros(0, bool)
-            text = [None if o else unique_runs(x, k, none, none) for o, x, k in zip(open_.tolist(), held, kinds, strict=True)]
-            left = [pa.array([x if o else None for o, x in zip(open_.tolist(), values, strict=True)], kind) for values, kind in ((held, pa.list_(pa.string())), (kinds, pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "content")), pa.array(text, pa.string()), *left], ["page_id", "url", "host", "content", "text", "blocks", "kinds"])
-
-    return settled
-
-
 def _places(run: int, bits: tuple[Broadcast, Broadcast]):
-    """Each page's runs that may be boilerplate, whether they stand in its sure tokens, and where they begin."""
+    """Each page's runs that may be boilerplate, whether they stand in its sure tokens, and where they begin. Copies may give theirs once or more."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            keys = list(zip(batch.column("host").to_pylist(), batch.column("content").to_pylist(), strict=True))
+            new = [x not in seen and not seen.add(x) for x in keys]
+            if len(seen) > _SEEN:
+                seen.clear()
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for k, (key, row, at) in enumerate(_windows(batch, run, bits)):
                 own = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column("host").take(own), batch.column("content").take(own), pa.array(key.view(np.int64)), pa.array([k == 1] * len(row), pa.bool_()), pa.array(at.astype(np.int32))], ["host", "content", "run", "sure", "at"])
@@ -365,9 +360,49 @@ def _places(run: int, bits: tuple[Broadcast, Broadcast]):
     return places
 
 
+def _parted(batch: pa.RecordBatch, opened: Broadcast | None, on: bool) -> pa.RecordBatch:
+    """The pages that may have tokens to clear, by a bitmap of contents, or the others."""
+    if opened is None:
+        return batch
+    return batch.filter(pa.array(_in(opened.value, np.asarray(batch.column("content")).view(np.uint64)) == on))
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Who reads the result may ask for large batches; as Python objects pages take several times their bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
+def _whole(opened: Broadcast | None):
+    """The text of each page that has nothing to clear."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, bool)
+        for batch in _few(batches):
+            batch = _parted(batch, opened, False)
+            pages = zip(batch.column("blocks").to_pylist(), batch.column("kinds").to_pylist(), strict=True)
+            text = [unique_runs(held, kinds, none, none) for held, kinds in pages]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+    return whole
+
+
+def _left(opened: Broadcast):
+    """The pages that may have tokens to clear."""
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _parted(batch, opened, True)
+
+    return left
+
+
 def _cleared(run: int):
+    """The text of each page without the runs that begin at its places."""
+
     def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for held, kinds, *begins in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "at", "sure_at")), strict=True):
                 covered = []
@@ -377,7 +412,7 @@ def _cleared(run: int):
                         gone[np.array(at or [], np.int64) + k] = True
                     covered.append(gone)
                 out.append(unique_runs(held, kinds, *covered))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("content"), pa.array(out, pa.string())], ["host", "content", "cleared"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return cleared
 
@@ -395,7 +430,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     br and hr end a block like block elements. Null and empty html give an empty text, and so does a page of boilerplate alone; pages with a null or
     odd url are taken as one host. A page is parsed whole, however long. Repeated rows give a row each and count as one page in what
-    repeats on a host. An empty table gives no rows; other columns aren't read. The returned rows lie in the shared folder.
+    repeats on a host. An empty table gives no rows; other columns aren't read. The parsed pages and the places to clear lie in the shared
+    folder; the returned rows are made from them as they are read, so no text is stored twice.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
@@ -403,27 +439,26 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # an array gives `least` pages of a run and zone at most
     many = lambda on: F.size(F.collect_set(F.when(on, F.col("content")))) >= least
     with Tables(pages.sparkSession) as tables:
-        parsed = tables.write(rows.mapInArrow(_parsed, "page_id long, url string, host string, blocks array<string>, kinds array<int>, marked array<string>"))
-        keyed = parsed.withColumn("content", F.xxhash64("blocks", "kinds"))
-        outside = keyed.select(*page, "blocks", "kinds", "marked").mapInArrow(_runs(run, False, least), found).groupBy(*at_run)
+        parsed = tables.write(rows.mapInArrow(_parsed, "page_id long, url string, host string, blocks array<string>, kinds array<int>, marked array<string>").withColumn("content", F.xxhash64("blocks", "kinds")))
+        outside = parsed.select(*page, "blocks", "kinds", "marked").mapInArrow(_runs(run, False, least), found).groupBy(*at_run)
         outside = tables.write(outside.agg(many(F.col("zone") != BESIDE).alias("undecided"), many(F.col("zone") != UNDECIDED).alias("marked")).where("undecided OR marked"))
         marked = outside.where("marked").select(*at_run)
-        inside = keyed.select(*page, "blocks", "kinds").mapInArrow(_runs(run, True, bits=_bitmap(marked)), found)
+        inside = parsed.select(*page, "blocks", "kinds").mapInArrow(_runs(run, True, bits=_bitmap(marked)), found)
         inside = inside.join(marked, at_run, "left_semi").groupBy(*at_run).agg(F.countDistinct("content").alias("n")).where(F.col("n") >= least)
-        inside = inside.join(keyed.groupBy("host").agg(F.countDistinct("content").alias("of")), "host").where("2 * n >= of")
+        inside = inside.join(parsed.groupBy("host").agg(F.countDistinct("content").alias("of")), "host").where("2 * n >= of")
         gone = outside.where("undecided").select(*at_run, F.lit(False).alias("sure")).unionByName(inside.select(*at_run, F.lit(True).alias("sure")))
         gone = tables.write(gone)
         bits = _bitmap(gone.where("NOT sure")), _bitmap(gone.where("sure"))
-        settled = tables.keep(tables.write(keyed.select("page_id", "url", *page, "blocks", "kinds").mapInArrow(_settled(run, bits), "page_id long, url string, host string, content long, text string, blocks array<string>, kinds array<int>")))
-        tables.drop(parsed)
-        decided = settled.where("text IS NOT NULL").select("page_id", "url", "text")
-        left = settled.where("text IS NULL")
-        if left.isEmpty():
-            return decided.withColumn("n_chars", F.length("text").cast("long"))
-        once = tables.write(left.groupBy(*page).agg(F.first("blocks").alias("blocks"), F.first("kinds").alias("kinds")))
-        covered = once.mapInArrow(_places(run, bits), "host string, content long, run long, sure boolean, at int").join(gone, [*at_run, "sure"], "left_semi")
-        covered = covered.groupBy(*page).agg(*(F.collect_list(F.when(F.col("sure") == of, F.col("at"))).alias(name) for of, name in ((False, "at"), (True, "sure_at"))))
-        cleared = once.join(covered, page, "left").mapInArrow(_cleared(run), "host string, content long, cleared string")
-        cleared = tables.keep(tables.write(cleared))
-    met = left.select("page_id", "url", *page).join(cleared, page).select("page_id", "url", F.col("cleared").alias("text"))
-    return decided.unionByName(met).withColumn("n_chars", F.length("text").cast("long"))
+        covered = parsed.select(*page, "blocks", "kinds").mapInArrow(_places(run, bits), "host string, content long, run long, sure boolean, at int").join(gone, [*at_run, "sure"], "left_semi")
+        covered = covered.groupBy(*page).agg(*(F.collect_set(F.when(F.col("sure") == of, F.col("at"))).alias(name) for of, name in ((False, "at"), (True, "sure_at"))))
+        covered = tables.write(covered)
+        opened = None if covered.isEmpty() else _bitmap(covered.select(F.col("content").alias("run")))
+        tables.keep(parsed)
+        if opened is not None:
+            tables.keep(covered)
+    made, named = parsed.select("page_id", "url", *page, "blocks", "kinds"), "page_id long, url string, text string"
+    out = made.mapInArrow(_whole(opened), named)
+    if opened is not None:
+        left = made.mapInArrow(_left(opened), made.schema).join(covered, page, "left")
+        out = out.unionByName(left.mapInArrow(_cleared(run), named))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

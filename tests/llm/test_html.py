@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from quarry.llm import frames
 from quarry.llm.html import LOOSE, OPEN, SURE, blocks, main_text, repeated_runs, suffix_array
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class=sidebar><header>Top</header><nav><a>menu</a></nav>
@@ -138,3 +139,35 @@ def test_every_page_is_decided_by_the_arrays(spark):
     rows = [(i, "http://h.org/", f"<footer>{notice}</footer><article><p>{i}</p></article>") for i in range(3)] + [(5, "http://h.org/", f"<div>{notice}</div><div>own</div>")]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "0", 1: "1", 2: "2", 5: "own"}
+
+
+def held_bytes(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("form", ["<nav>{menu}</nav><article>{body}</article>", "<div>{menu}</div><div>{body}</div>"])
+def test_pages_are_stored_once(spark, tmp_path, monkeypatch, form):
+    """With nothing or something to clear, the tables held at once are about as large as the input: texts aren't stored beside the parsed pages."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    menu = say(12)
+    bodies = [[say(60) for _ in range(4)] for _ in range(400)]
+    rows = [(i, "http://h.org/", form.format(menu=menu, body="".join(f"<p>{x}</p>" for x in body))) for i, body in enumerate(bodies)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2).write.option("compression", "zstd").parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(frames, "shared_folder", lambda _: str(tmp_path / "held"))
+    peak, write = [], frames.Tables.write
+    monkeypatch.setattr(frames.Tables, "write", lambda self, df: (write(self, df), peak.append(held_bytes(tmp_path / "held")))[0])
+    got = main_text(spark.read.parquet(f"{tmp_path}/in"))
+    peak.append(held_bytes(tmp_path / "held"))
+    assert {r.page_id: r.text for r in got.collect()} == {i: "\n".join(body) for i, body in enumerate(bodies)}
+    assert max(peak) < 1.3 * held_bytes(tmp_path / "in")
+
+
+def test_copies_and_their_host_are_cleared_alike(spark):
+    """Copies are looked at once in a task, and their places count for each; the same page of another host keeps what is boilerplate only here."""
+    menu = "home news sport weather business culture travel contact us today"
+    page = lambda i: f"<div>{menu}</div><p>{i} story</p>"
+    rows = [(i, "http://h.org/", page(i // 40)) for i in range(160)] + [(900 + i, "http://other.org/", page(0)) for i in range(3)]
+    for parts in (1, 6):
+        got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+        assert got == {i: f"{i // 40} story" for i in range(160)} | {900 + i: f"{menu}\n0 story" for i in range(3)}
