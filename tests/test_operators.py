@@ -363,6 +363,22 @@ def test_past_commits_in_blocks(spark, monkeypatch):
         assert got.get(q, {}) == {f"f{i}": pytest.approx(score[i], abs=1e-8) for i in best}
 
 
+def test_equal_subjects_are_scored_once(monkeypatch):
+    """A row holds all commits of a subject: it is scored once for an ask, and the smallest ids of the earlier ones count."""
+    rng = np.random.default_rng(5)
+    commits = {"a b": [(int(rng.integers(100)), i) for i in rng.permutation(200).tolist()], "a c": [(int(rng.integers(100)), 200 + i) for i in range(200)]}
+    held = pa.table({"tokens": [k.split() for k in commits], "commits": pa.array([[{"cts": t, "cid": i} for t, i in sorted(v)] for v in commits.values()], pa.list_(pa.struct([("cts", pa.int64()), ("cid", pa.int64())])))})
+    asks = pa.table({"ask": pa.array([7, 8], pa.int64()), "ts": pa.array([30, 2], pa.int64()), "avg": [2.0, 2.0], "terms": [[{"term": "b", "idf": 1.0}, {"term": "a", "idf": 0.1}]] * 2})
+    scored = []
+    best = history._best
+    monkeypatch.setattr(history, "_best", lambda *x: scored.append(x[4]) or best(*x))
+    got = history._nearest(5)(asks, held).to_pylist()
+    assert scored == [2, 2]
+    for ask, ts in ((7, 30), (8, 2)):
+        want = [i for k in commits for i in sorted(i for t, i in commits[k] if t < ts)][:5]
+        assert [r["cid"] for r in got if r["ask"] == ask] == want
+
+
 def test_texts_move_once(spark):
     """A text meets the names that it may hold in one join, and no link carries a text."""
     c = spark.createDataFrame([(i, f"p{i}.py", "Name%d" % i, "has Name0s and Name2" if i else "x", "code") for i in range(4)], "idx long, path string, symbol string, text string, kind string")
